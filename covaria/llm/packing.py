@@ -10,6 +10,7 @@ partition's number above 40 bits.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,55 +27,36 @@ _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 class Ids:
-    """Token ids of texts as little-endian uint32 bytes; at most `most` words are remembered.
+    """Token ids of texts as little-endian uint32 bytes, as the tokenizers library has them for the file.
 
-    A text whose white space is single spaces and line feeds is cut before each of them, where the
-    byte-level pre-tokenizer starts anew; any other text, and any with "<|", goes to the library whole.
+    The file's vocabulary (ids are ranks) also drives tiktoken, which gives the same ids several times
+    faster. What the two might treat unlike goes to tokenizers: special strings, characters beyond
+    Latin (their Unicode tables differ) and control characters that only one takes for white space.
     """
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str):
+        import json
         import re
 
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokens, self.most = Tokenizer.from_file(path), most
+        from covaria.llm.bpe import byte_symbols
+
+        self.tokens = Tokenizer.from_file(path)
         self.tokens.no_truncation()
         self.tokens.no_padding()
-        self.odd = re.compile(r"[^\S \n]|\s\s|<\||\s\Z")
-        #: words at the start of a line, and words after a space
-        self.first: dict[str, bytes] = {"": b""}
-        self.after: dict[str, bytes] = {}
-        self.line = self._whole("\n")
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        from array import array
-
-        return array("I", ids).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._packed(self.tokens.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, self.tokens.encode_batch_fast([lead + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = self._packed(e.ids)
+        of = {c: b for b, c in enumerate(byte_symbols())}
+        special = {x["content"] for x in json.loads(self.tokens.to_str())["added_tokens"]}
+        ranks = {bytes(map(of.__getitem__, t)): i for t, i in self.tokens.get_vocab(with_added_tokens=False).items() if t not in special}
+        #: Fixed value: the pre-token pattern of byte-level vocabularies.
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.fast = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.odd = re.compile(r"<\||[^\t\n\r -~\u00a1-\u024f]")
 
     def __call__(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self._whole(text)
-        parts = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            try:
-                parts.append(self.first[head] + b"".join(map(self.after.__getitem__, rest)))
-            except KeyError:
-                if len(self.first) + len(self.after) > self.most:
-                    self.first, self.after = {"": b""}, {}
-                self._learn(self.first, [head], "")
-                self._learn(self.after, rest, " ")
-                parts.append(self.first[head] + b"".join(map(self.after.__getitem__, rest)))
-        return self.line.join(parts)
+        ids = self.tokens.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.fast(text)
+        return array("I", ids).tobytes()
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
