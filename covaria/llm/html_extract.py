@@ -196,7 +196,7 @@ def votes(pages: DataFrame) -> DataFrame:
             a, b, c = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], ["host", "path", "share"])
 
-    return pages.select(_host(F.col("url")), "html").mapInArrow(run, "host string, path string, share double")
+    return pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share double")
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:

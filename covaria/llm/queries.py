@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covaria.llm import bpe, exact_dedup, html_extract, language_id, packing, quality_rules, token_counts, toxicity
+from covaria.llm import bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1,
         "op2_toxicity": toxicity.op2,
         "op3_language_id": language_id.op3,
         "op4_bpe_round_trip": bpe.op4,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": ngram_join.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }

@@ -28,6 +28,9 @@ class Counter:
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self.tokens = Tokenizer.from_file(path)
