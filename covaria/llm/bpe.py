@@ -177,6 +177,8 @@ class Tokens:
         return array("I", [*stream.feed(symbols), *stream.end()]).tobytes()
 
     def _plain(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():  # one pre-token of either kind
+            return self._known(text.lower() if self.words else text)
         beyond = bool(text) and max(text) > "\u024f"
         if self.words:
             text = self.kinds.normalizer.normalize_str(text) if beyond else unicodedata.normalize("NFC", text).lower()
@@ -184,17 +186,17 @@ class Tokens:
             found = [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.kinds))]
         else:
             found = self.pattern.findall(text)
-        out = []
-        for word in found:
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self._pretoken(word)
-                if len(word) <= 64:
-                    if len(self.known) >= self.most:
-                        self.known.clear()
-                    self.known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._known, found))
+
+    def _known(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._pretoken(word)
+            if len(word) <= 64:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian uint32; special strings become their ids."""
@@ -214,17 +216,19 @@ class Decoder:
 
     def __init__(self, tokens: Tokens):
         self.bytes, self.joint = tokens.bytes, b"" if tokens.byte_decoder else b" "
-        self.machine, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
+        #: whole token strings are whole characters; bytes are not
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace") if tokens.byte_decoder else None
+        self.begun = False
 
     def feed(self, ids: Iterable[int]) -> str:
         parts = self.joint.join(map(self.bytes.__getitem__, ids))
         if self.begun and parts:
             parts = self.joint + parts
         self.begun = self.begun or bool(parts)
-        return self.machine.decode(parts)
+        return self.machine.decode(parts) if self.machine else parts.decode()
 
     def end(self) -> str:
-        return self.machine.decode(b"", True)
+        return self.machine.decode(b"", True) if self.machine else ""
 
 
 class Pieces:
@@ -234,7 +238,7 @@ class Pieces:
     start, and a piece's output can be used again. At most `most` short pieces are remembered.
     """
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str, most: int = 1 << 19):
         self.tokens, self.most = Tokens(path), most
         self.ids: dict[bytes, bytes] = {}
         self.text: dict[bytes, bytes] = {}

@@ -31,12 +31,14 @@ RULES = (
 _WORD = r"[\x20\x09-\x0D]+"
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and, for each whole text, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines,
+def counts(docs: DataFrame, keep: str | None = None) -> DataFrame:
+    """doc_id, the column `keep` if one is named, and, for each whole text, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines,
     n_repeat_words and n_stop_words; null text has no words."""
     text = whole(F.col("text"))
+    kept = [keep] if keep else []
     first = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        *kept,
         F.filter(F.split(text, _WORD), lambda w: w != "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "").alias("lines"),
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
@@ -58,6 +60,7 @@ def counts(docs: DataFrame) -> DataFrame:
     stop = F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))
     return third.select(
         "doc_id",
+        *kept,
         n.cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -77,14 +80,14 @@ def compile_rules(rules=RULES) -> Column:
     return out
 
 
-def quality_rules(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, the counts, base_failed and kept.
+def quality_rules(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS, keep: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, the column `keep` if one is named, the counts, base_failed and kept.
 
     Null and empty texts have no words and fail. Repeated rows give repeated results, a null doc_id
     stays null, other columns are ignored; an empty table gives an empty result.
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = counts(docs).withColumn("base_failed", base)
+    found = counts(docs, keep).withColumn("base_failed", base)
     return found.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covaria.llm import bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, token_counts, toxicity
+from covaria.llm import bpe, exact_dedup, html_extract, language_id, ngram_join, packing, pitman_yor, quality_rules, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_harmonic_packing": packing.op5,
         "op6_quality_rules": quality_rules.op6,
         "op7_html_extraction": html_extract.op7,
+        "op8_lm_scoring": pitman_yor.op8,
         "op9_token_counts": token_counts.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }
