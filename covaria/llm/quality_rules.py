@@ -31,6 +31,12 @@ RULES = (
 _WORD = r"[\x20\x09-\x0D]+"
 
 
+def _once(x: Column) -> Column:
+    """x, computed once a row: the optimizer copies no expression that it holds to be nondeterministic, and so neither
+    inlines an array into the lambda functions that index it nor pushes a filter on the verdict below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def counts(docs: DataFrame, keep: str | None = None) -> DataFrame:
     """doc_id, the column `keep` if one is named, and, for each whole text, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines,
     n_repeat_words and n_stop_words; null text has no words."""
@@ -39,7 +45,7 @@ def counts(docs: DataFrame, keep: str | None = None) -> DataFrame:
     first = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *kept,
-        F.filter(F.split(text, _WORD), lambda w: w != "").alias("w"),
+        _once(F.filter(F.split(text, _WORD), lambda w: w != "")).alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "").alias("lines"),
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -49,8 +55,8 @@ def counts(docs: DataFrame, keep: str | None = None) -> DataFrame:
     w = lambda i: F.get("w", i)
     window = lambda i: F.concat(w(i), F.lit(" "), w(i + 1), F.lit(" "), w(i + 2), F.lit(" "), F.lpad(i.cast("string"), 10, "0"))
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    second = first.select("*", F.sort_array(F.transform(at, window)).alias("s"))
-    third = second.select("*", F.transform("s", lambda x: x.substr(F.lit(1), F.length(x) - 10)).alias("g"))
+    second = first.select("*", _once(F.sort_array(F.transform(at, window))).alias("s"))
+    third = second.select("*", _once(F.transform("s", lambda x: x.substr(F.lit(1), F.length(x) - 10))).alias("g"))
     g = lambda i: F.get("g", i)
     twice = F.filter(
         F.transform("s", lambda x, i: F.when((g(i) == g(i - 1)) | (g(i) == g(i + 1)), x.substr(F.length(x) - 9, F.lit(10)).cast("int"))),
