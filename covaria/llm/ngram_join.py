@@ -33,27 +33,19 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class Shingles:
-    """Sorted distinct 64-bit shingle hashes of texts; remembers the hashes of a bounded number of words."""
+    """Sorted distinct 64-bit shingle hashes of texts."""
 
-    def __init__(self, words: int = WORDS, most: int = 1 << 19):
+    def __init__(self, words: int = WORDS):
         import xxhash
 
-        self.hash, self.words, self.most, self.known = xxhash.xxh3_64_intdigest, words, most, {}
+        self.hash, self.words = xxhash.xxh3_64_intdigest, words
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
         n, k = len(words), self.words
         if not n:
             return np.empty(0, np.uint64)
-        try:
-            h = np.fromiter(map(self.known.__getitem__, words), np.uint64, n)
-        except KeyError:
-            if len(self.known) > self.most:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = self.hash(w)
-            h = np.fromiter(map(self.known.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(self.hash, words), np.uint64, n)
         if n < k:
             return mix64(np.array([sum(int(x) * int(m) for x, m in zip(h, _ODD, strict=False)) + n & (1 << 64) - 1], np.uint64))
         s = h[: n - k + 1] * _ODD[0]
@@ -85,15 +77,17 @@ def _measure(docs: DataFrame, words: int, slots: int) -> DataFrame:
         shingles, counts = Shingles(words), np.zeros(slots, np.uint32)
         names = ["doc_id", "n", "f1", "f2", "chunk_no", "counters"]
         for batch in batches:
-            n, f1, f2 = [], [], []
+            n, f1, f2, slot = [], [], [], []
             for t in utf8_rows(batch.column(1)):
                 s = shingles(t)
-                np.add.at(counts, (s & np.uint64(slots - 1)).astype(np.int64), 1)
+                slot.append((s & np.uint64(slots - 1)).astype(np.int32))
                 a, b = _identity(s)
                 n.append(len(s))
                 f1.append(a)
                 f2.append(b)
             m = len(n)
+            if m:
+                counts += np.bincount(np.concatenate(slot), minlength=slots).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         for k, blob in counter_rows(counts):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names)
@@ -116,11 +110,11 @@ def _short_lists(docs: DataFrame, words: int, counts: np.ndarray, wanted: np.nda
                     continue
                 f = _identity(s)
                 if wanted is None:  # entries only count sets here; copies need not be counted
-                    if f in seen:
+                    if f[0] in seen:
                         continue
-                    if len(seen) > 1 << 20:
+                    if len(seen) > 1 << 18:
                         seen.clear()
-                    seen.add(f)
+                    seen.add(f[0])
                 k = _prefix(len(s))
                 c = counts[(s & mask).astype(np.int64)]
                 if k < len(s):  # the k first in order of (frequency, shingle): s is sorted already
