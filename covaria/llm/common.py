@@ -31,14 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found or 'file://' + LOCAL_DIR}/covaria"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage durably."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once to the shared folder, in folders by the values of column `by`, and read back: cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame, folder: str) -> None:
+    """Deletes one folder of stored tables, when no later step reads it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for file in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if file.endswith("/" + folder):
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -156,7 +156,7 @@ class Model:
         return [self.langs[k] if h else UNKNOWN for k, h in zip(won.tolist(), has.tolist(), strict=True)], np.where(has, score, 0.0).tolist()
 
 
-def identify(docs: DataFrame, references: dict[str, str], batch_chars: int = 4_000_000) -> DataFrame:
+def identify(docs: DataFrame, references: dict[str, str], text: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
     """docs and lang_pred, score: by mapInArrow, whole texts in runs of about batch_chars.
 
     A null text, or one with no letter, is `und` with score 0; ties go to the language that sorts first.
@@ -165,21 +165,23 @@ def identify(docs: DataFrame, references: dict[str, str], batch_chars: int = 4_0
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     names = [*docs.columns, "lang_pred", "score"]
-    place = docs.columns.index("text")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
             model = model or Model(references)
-            texts = [t.decode() for t in utf8_rows(batch.column(place))]
-            langs, scores, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= batch_chars):
-                    size += len(texts[end])
-                    end += 1
-                a, b = model.predict(texts[at:end])
-                langs, scores, at = langs + a, scores + b, end
+            langs, scores, some, size = [], [], [], 0
+            for at in range(0, batch.num_rows, 256):
+                for t in utf8_rows(batch.column(place).slice(at, 256)):
+                    some.append(t.decode())
+                    size += len(some[-1])
+                    if size >= batch_chars:
+                        a, b = model.predict(some)
+                        langs, scores, some, size = langs + a, scores + b, [], 0
+            if some:
+                a, b = model.predict(some)
+                langs, scores = langs + a, scores + b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return docs.mapInArrow(run, schema)

@@ -24,18 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import mix64, remainder, stored, table, utf8_rows
+from covaria.llm.common import mix64, remainder, removed, stored, table, utf8_rows
 
 BLOCK_TOKENS = 1 << 21
 THETA, SWEEPS, BURN_IN, MOVES = 2.0, 5, 2, 8
+#: The questions about bigrams are asked in so many rounds, so that only one round's are on disk at once.
+ROUNDS = 2
 _END = b"\n"  # no word: words have no white space
 _48 = np.uint64(16)
 
 
-def _squeeze(x: np.ndarray) -> bytes:
+def _squeeze(x: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _expand(blob: bytes, kind) -> np.ndarray:
@@ -60,7 +62,6 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known: dict[bytes, int] = {_END: xxhash.xxh3_64_intdigest(_END)}
         number = TaskContext.get().partitionId() << 32
         ids, held, sizes, hashes, total = [], [], [], [], 0
 
@@ -73,7 +74,7 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             heavy = order[count[order] > 0]
             columns = [
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_squeeze(np.array(held, np.uint8))], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
-                pa.array([_squeeze(tokens.astype(np.uint32))], pa.binary()), pa.array([vocab.tobytes()], pa.binary()), pa.array([int(train.sum())], pa.int64()),
+                pa.array([_squeeze(tokens.astype(np.uint32), 6)], pa.binary()), pa.array([vocab.tobytes()], pa.binary()), pa.array([int(train.sum())], pa.int64()),
                 pa.array([vocab[heavy].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([count[heavy].tolist()], pa.list_(pa.int64())),
             ]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "held", "sizes", "tokens", "vocab", "n_train", "heavy", "heavy_n"])
@@ -82,15 +83,7 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             for doc_id, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2)), strict=True):
                 words = t.lower().split()
                 words.append(_END)
-                try:
-                    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                except KeyError:
-                    if len(known) > 1 << 19:
-                        known.clear()
-                    for w in words:
-                        if w not in known:
-                            known[w] = xxhash.xxh3_64_intdigest(w)
-                    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
                 ids.append(doc_id)
                 held.append(out)
                 sizes.append(len(h))
@@ -112,23 +105,31 @@ class Block:
 
     def __init__(self, row: dict, parts: int, hot: np.ndarray):
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = _expand(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = _expand(row["tokens"], np.uint32).view(np.int32)
         self.sizes = _expand(row["sizes"], np.int64)
         self.train = ~np.repeat(_expand(row["held"], np.uint8).astype(bool), self.sizes)
         self.count = np.bincount(self.tokens[self.train], minlength=len(self.vocab))
         end = np.cumsum(self.sizes) - 1
-        previous = np.empty_like(self.tokens)
-        previous[1:] = self.tokens[:-1]
-        previous[end - self.sizes + 1] = self.tokens[end]  # a document begins after an end
-        pairs, self.pair = np.unique(previous * len(self.vocab) + self.tokens, return_inverse=True)
-        self.u, self.w = pairs // len(self.vocab), pairs % len(self.vocab)
+        keys = np.empty(len(self.tokens), np.int64)
+        keys[1:] = self.tokens[:-1]
+        keys[end - self.sizes + 1] = self.tokens[end]  # a document begins after an end
+        keys *= len(self.vocab)
+        keys += self.tokens
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        self.pair = np.empty(len(keys), np.int32)  # of each token, its bigram's place
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        pairs = keys[new]
+        del order, keys, new
+        self.u, self.w = (pairs // len(self.vocab)).astype(np.int32), (pairs % len(self.vocab)).astype(np.int32)
         shift = np.uint64(64 - (parts.bit_length() - 1))
         spread = np.isin(self.vocab, hot)
         key = np.where(spread[self.u], mix64(self.vocab[self.u] ^ mix64(self.vocab[self.w])), self.vocab[self.u])
-        part = (key >> shift).astype(np.int64) if parts > 1 else np.zeros(len(key), np.int64)
-        self.order = np.argsort(part, kind="stable")
+        part = (key >> shift).astype(np.int32)
+        self.order = np.argsort(part, kind="stable").astype(np.int32)
         self.edges = np.searchsorted(part[self.order], np.arange(parts + 1))
-        self.word_edges = np.searchsorted((self.vocab >> shift).astype(np.int64), np.arange(parts + 1)) if parts > 1 else np.array([0, len(self.vocab)])
+        self.word_edges = np.searchsorted((self.vocab >> shift).astype(np.int64), np.arange(parts + 1))
 
     def runs(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a part's bigrams: their places, the contexts in order, and how many bigrams each has."""
@@ -198,19 +199,19 @@ _ASKED = "part int, block long, u binary, runs binary, w binary, n binary, level
 _SEATED = "kind int, block long, part int, a binary, b binary"
 
 
-def _ask(blocks: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+def _ask(blocks: DataFrame, parts: int, hot: np.ndarray, asked: range) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row, parts, hot)
                 n = np.bincount(b.pair[b.train], minlength=len(b.u))
                 level = np.minimum(255, np.round(8 * np.log2(b.count + 1))).astype(np.uint8)
-                for part in range(parts):
+                for part in asked:
                     at, u, runs = b.runs(part)
                     if len(at):
                         v = b.vocab
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([part], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([v[u].tobytes()], pa.binary()), pa.array([_squeeze(runs.astype(np.uint32))], pa.binary()),
+                            pa.array([part], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([_pack48(v[u] >> _48)], pa.binary()), pa.array([_squeeze(runs.astype(np.uint32))], pa.binary()),
                             pa.array([_pack48(v[b.w[at]] >> _48)], pa.binary()), pa.array([_squeeze(n[at].astype(np.uint32))], pa.binary()), pa.array([_squeeze(level[b.w[at]])], pa.binary()),
                         ], [x.split()[0] for x in _ASKED.split(", ")])
 
@@ -221,7 +222,7 @@ def _seat_part(table_: pa.Table, parts: int, hot: np.ndarray, mean_tokens: float
     """Kind 0: answers (customers less discounts, discounted tables by context); 1: tables by word; 2: hot contexts' tables."""
     rows = table_.sort_by("block").to_pylist()
     part = rows[0]["part"]
-    us = [np.frombuffer(r["u"], np.uint64) for r in rows]
+    us = [_unpack48(r["u"]) for r in rows]
     runs = [_expand(r["runs"], np.uint32) for r in rows]
     w = np.concatenate([_unpack48(r["w"]) for r in rows])
     n = np.concatenate([_expand(r["n"], np.uint32) for r in rows]).astype(np.int64)
@@ -233,7 +234,7 @@ def _seat_part(table_: pa.Table, parts: int, hot: np.ndarray, mean_tokens: float
     room, word = at[first], w[first]
     seen = np.flatnonzero(c)
     d = discount(c)
-    spread = np.isin(rooms, hot)
+    spread = np.isin(rooms, hot >> _48)
     p0 = np.clip((2.0 ** (level[first] / 8.0)) / mean_tokens, 1e-9, 0.5)
     t, mean = seat(c[seen], room[seen], len(rooms), np.where(spread, float(parts), 1.0), p0[seen], d, np.random.default_rng([17, part]))
     x = np.zeros(len(c), np.float32)
@@ -247,13 +248,14 @@ def _seat_part(table_: pa.Table, parts: int, hot: np.ndarray, mean_tokens: float
     words, place = np.unique(word[seen], return_inverse=True)
     customers = np.bincount(place, t, len(words)).astype(np.uint32)
     shift = np.uint64(48 - (parts.bit_length() - 1))
-    edges = np.searchsorted((words >> shift).astype(np.int64), np.arange(parts + 1)) if parts > 1 else np.array([0, len(words)])
+    edges = np.searchsorted((words >> shift).astype(np.int64), np.arange(parts + 1))
     for k in range(parts):
         a, b = edges[k], edges[k + 1]
         if b > a:
             out.append((1, -1, k, _pack48(words[a:b]), _squeeze(customers[a:b])))
     if spread.any():
-        out.append((2, -1, part, rooms[spread].tobytes(), tables[spread].tobytes()))
+        whole = hot[np.searchsorted(hot >> _48, rooms[spread])]
+        out.append((2, -1, part, whole.tobytes(), tables[spread].tobytes()))
     kinds = [x.split() for x in _SEATED.split(", ")]
     return pa.Table.from_arrays([pa.array(v, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], [x for x, _ in kinds])
 
@@ -280,7 +282,7 @@ class _Vocabulary:
         train = ~np.repeat(_expand(row["held"], np.uint8).astype(bool), _expand(row["sizes"], np.int64))
         self.count = np.bincount(_expand(row["tokens"], np.uint32)[train], minlength=len(self.vocab))
         shift = np.uint64(64 - (parts.bit_length() - 1))
-        self.edges = np.searchsorted((self.vocab >> shift).astype(np.int64), np.arange(parts + 1)) if parts > 1 else np.array([0, len(self.vocab)])
+        self.edges = np.searchsorted((self.vocab >> shift).astype(np.int64), np.arange(parts + 1))
 
 
 _PARENT = "block long, part int, c binary, x binary, n_words long, customers long, tables double"
@@ -340,10 +342,10 @@ def _score_block(rows: pa.Table, answers: pa.Table, parts: int, hot: np.ndarray,
         dt[b.vocab == h] = v
     p_word = (parent + (THETA + tables) / (n_words + 1)) / (THETA + customers)
     p = (x + (THETA + dt[b.u]) * p_word[b.w]) / (THETA + c[b.u])
-    doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
-    score = np.bincount(doc, np.log10(p)[b.pair], len(b.sizes))
-    base = np.bincount(doc, np.log10((c + 1) / (n_train + n_words + 1))[b.tokens], len(b.sizes))
-    known = np.bincount(doc, (c > 0)[b.tokens], len(b.sizes)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(b.sizes)[:-1]])
+    score = np.add.reduceat(np.log10(p)[b.pair], first)
+    base = np.add.reduceat(np.log10((c + 1) / (n_train + n_words + 1))[b.tokens], first)
+    known = np.add.reduceat((c > 0)[b.tokens].astype(np.int32), first).astype(np.int64)
     held = _expand(row["held"], np.uint8).astype(bool)
     values = (row["doc_ids"], held, b.sizes, known, np.full(len(held), n_train), base, score)
     return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
@@ -369,9 +371,13 @@ def lm_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     heavy = blocks.select(F.explode(F.arrays_zip("heavy", "heavy_n")).alias("x")).groupBy("x.heavy").agg(F.sum("x.heavy_n").alias("n")).where(F.col("n") > max(1, n_train // (4 * parts)))
     hot = np.sort(np.array([r["heavy"] for r in heavy.collect()], np.int64).view(np.uint64))
     tokens = float(max(1, n_train) / max(1, n_blocks))
-    asked = _ask(blocks, parts, hot)
-    seated = stored(asked.groupBy("part").applyInArrow(lambda t: _seat_part(t, parts, hot, tokens), _SEATED), "seated")
-    _released(spark)
+    seated = None
+    for k in range(ROUNDS):
+        asked = _ask(blocks, parts, hot, range(k * parts // ROUNDS, (k + 1) * parts // ROUNDS))
+        new = stored(asked.groupBy("part").applyInArrow(lambda t: _seat_part(t, parts, hot, tokens), _SEATED), "seated", by="kind")
+        seated = new if seated is None else seated.union(new)
+        del asked, new
+        _released(spark)
     hot_tables = dict.fromkeys(hot.tolist(), 0.0)
     for r in seated.where("kind = 2").select("a", "b").collect():
         for h, v in zip(np.frombuffer(r["a"], np.uint64).tolist(), np.frombuffer(r["b"], np.float32).tolist(), strict=True):
@@ -380,6 +386,7 @@ def lm_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     parent = stored(_words(blocks, parts).union(told).groupBy("part").applyInArrow(lambda t: _parent_part(t, parts), _PARENT), "parent")
     _released(spark)
     n_words, customers, tables = parent.where("block < 0").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n_words", "customers", "tables"))).first()
+    removed(seated, "kind=1")
     answers = seated.where("kind = 0").select("block", "kind", "part", "a", "b").union(parent.where("block >= 0").select("block", F.lit(3), "part", F.col("c"), F.col("x")))
     left = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "vocab").groupBy("block")
     values = np.array([hot_tables[h] for h in hot.tolist()])
