@@ -21,8 +21,10 @@ from covaria.llm.quality_rules import quality_rules
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no known language: those without any letter."""
     references = reference_texts(docs.where(remainder(F.col("doc_id"), 5) != 0))
-    own = F.struct(*docs.columns).alias("row")
-    return identify(docs.select(own, "text"), references).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # no name can clash with the operator's
+    found = identify(plain, references, text=f"c{names.index('text')}").where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
