@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 def unfold(pixels: DataFrame, k: int, height: int, width: int, stride: int = 1) -> DataFrame:
     """pixels and wrow, wcol: one row for every valid k x k window that a pixel is in (window position = first pixel)."""
-    first = lambda x, most: F.sequence(F.greatest(F.ceil((x - (k - 1)) / stride).cast("int"), F.lit(0)), F.least(F.floor(x / stride).cast("int"), F.lit((most - k) // stride)))
-    rows = pixels.withColumn("wrow", F.explode(F.filter(first(F.col("row"), height), lambda v: v * stride <= F.col("row"))))
-    return rows.withColumn("wcol", F.explode(F.filter(first(F.col("col"), width), lambda v: v * stride <= F.col("col"))))
+    def places(x: str, size: int) -> Column:
+        low, high = F.greatest(F.ceil((F.col(x) - (k - 1)) / stride), F.lit(0)), F.least(F.floor(F.col(x) / stride), F.lit((size - k) // stride))
+        return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    rows = pixels.withColumn("wrow", F.explode(places("row", height)))
+    return rows.withColumn("wcol", F.explode(places("col", width)))
 
 
 def box_sums(pixels: DataFrame, k: int, height: int, width: int, values: list[str]) -> DataFrame:
