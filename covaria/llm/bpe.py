@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from covaria.llm.common import table, utf8_rows
+from covaria.llm.common import arrow_map, table, utf8_rows
 
 _INF = 1 << 60
 WINDOW = 256
@@ -290,7 +290,7 @@ def bpe_round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame
                 columns += [pa.array(more[0], pa.list_(pa.int64())), pa.array(more[1], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").transform(arrow_map, run, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

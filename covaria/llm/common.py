@@ -54,6 +54,34 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _lean(run):
+    """run, after which a reused Python worker gives its free memory back to the system."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
+def arrow_map(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most `rows` rows, as texts can be long; for DataFrame.transform."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df.mapInArrow(_lean(run), schema)
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -90,7 +118,7 @@ def counter_table(rows: DataFrame, slots: int, chunk: int = 1 << 15) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk_no", "counters"])
 
     parts = max(1, min(slots // chunk, 64))
-    summed = rows.repartition(parts, "chunk_no").mapInArrow(add, "chunk_no int, counters binary")
+    summed = rows.repartition(parts, "chunk_no").transform(arrow_map, add, "chunk_no int, counters binary")
     out = np.zeros(slots, np.uint32)
     for k, blob in summed.collect():
         out[k * chunk : (k + 1) * chunk] += np.frombuffer(blob, np.uint32)

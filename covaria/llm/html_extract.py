@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import table, utf8_rows
+from covaria.llm.common import arrow_map, table, utf8_rows
 
 #: Elements by what they do to the text around them.
 _SKIPPED = "script|style|title|textarea|noscript|template|svg|iframe|select|button|object|canvas|head|video|audio|math"
@@ -196,7 +196,7 @@ def votes(pages: DataFrame) -> DataFrame:
             a, b, c = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], ["host", "path", "share"])
 
-    return pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share double")
+    return pages.select(_host(F.col("url")).alias("host"), "html").transform(arrow_map, run, "host string, path string, share double")
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return found.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return found.transform(arrow_map, run, "page_id long, url string, text string, n_chars long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

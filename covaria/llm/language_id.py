@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import remainder, table, utf8_rows
+from covaria.llm.common import arrow_map, remainder, table, utf8_rows
 
 #: The reference's bounds: labelled rows a language, characters of each that are taken, characters in all.
 ROWS, ROW_CHARS, CHARS = 64, 4000, 60_000
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, references: dict[str, str], text: str = "text", ba
                 langs, scores = langs + a, scores + b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(arrow_map, run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import components, counter_rows, counter_table, mix64, stored, table, utf8_rows
+from covaria.llm.common import arrow_map, components, counter_rows, counter_table, mix64, stored, table, utf8_rows
 
 WORDS = 5
 #: Slots of the frequency counters and of the filter of shared shingles; sizes are fixed, results exact at any load.
@@ -92,7 +92,7 @@ def _measure(docs: DataFrame, words: int, slots: int) -> DataFrame:
         for k, blob in counter_rows(counts):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, chunk_no int, counters binary")
+    return _rows(docs).transform(arrow_map, run, "doc_id long, n long, f1 long, f2 long, chunk_no int, counters binary")
 
 
 def _short_lists(docs: DataFrame, words: int, counts: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
@@ -142,7 +142,7 @@ def _short_lists(docs: DataFrame, words: int, counts: np.ndarray, wanted: np.nda
             if size:
                 yield _entries(hs, ids, fs, ns, ps)
 
-    return _rows(docs).mapInArrow(run, "h long, doc_id long, f1 long, n int, pos int")
+    return _rows(docs).transform(arrow_map, run, "h long, doc_id long, f1 long, n int, pos int")
 
 
 def _entries(hs, ids, fs, ns, ps) -> pa.RecordBatch:
@@ -173,7 +173,7 @@ def _bits(keys: DataFrame, shift: int, bits: int) -> np.ndarray:
 
     schema = "chunk_no int, part binary"
     out = np.zeros(bits // 8, np.uint8)
-    for k, part in keys.mapInArrow(run, schema).repartition(max(1, bits >> 19), "chunk_no").mapInArrow(merge, schema).collect():
+    for k, part in keys.transform(arrow_map, run, schema).repartition(max(1, bits >> 19), "chunk_no").transform(arrow_map, merge, schema).collect():
         out[k << 16 : (k << 16) + len(part)] |= np.frombuffer(part, np.uint8)
     return out
 
@@ -194,7 +194,7 @@ def _texts(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([few.column(0), pa.array([squeeze(b" ".join(t.lower().split())) for t in utf8_rows(few.column(1))], pa.binary())], ["id", "z"])
 
     rows = _rows(docs).where("doc_id is not null").withColumn("k", F.xxhash64("doc_id"))
-    return stored(rows.mapInArrow(run, "id long, z binary"), "texts")
+    return stored(rows.transform(arrow_map, run, "id long, z binary"), "texts")
 
 
 def _verified(docs: DataFrame, edges: DataFrame, words: int, bits: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _verified(docs: DataFrame, edges: DataFrame, words: int, bits: int) -> DataF
                 hit.append(linked(left, shingles(open_(zb))))
             yield batch.filter(pa.array(hit, pa.bool_())).select(["a", "b"])
 
-    return stored(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    return stored(both.transform(arrow_map, run, "a long, b long").distinct(), "links")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:

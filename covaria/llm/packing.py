@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from covaria.llm.bpe import byte_symbols
-from covaria.llm.common import table, utf8_rows
+from covaria.llm.common import arrow_map, table, utf8_rows
 
 CAPACITY = 2048
 END = 1
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         if ready:
             yield rows(ready)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").transform(arrow_map, run, _SCHEMA)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

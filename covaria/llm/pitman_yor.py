@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import mix64, remainder, removed, stored, table, utf8_rows
+from covaria.llm.common import arrow_map, mix64, remainder, removed, stored, table, utf8_rows
 
 BLOCK_TOKENS = 1 << 21
 THETA, SWEEPS, BURN_IN, MOVES = 2.0, 5, 2, 8
@@ -97,7 +97,7 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             yield row()
 
     schema = "block long, doc_ids array<long>, held binary, sizes binary, tokens binary, vocab binary, n_train long, heavy array<long>, heavy_n array<long>"
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "held_out", "text").transform(arrow_map, run, schema)
 
 
 class Block:
@@ -215,7 +215,7 @@ def _ask(blocks: DataFrame, parts: int, hot: np.ndarray, asked: range) -> DataFr
                             pa.array([_pack48(v[b.w[at]] >> _48)], pa.binary()), pa.array([_squeeze(n[at].astype(np.uint32))], pa.binary()), pa.array([_squeeze(level[b.w[at]])], pa.binary()),
                         ], [x.split()[0] for x in _ASKED.split(", ")])
 
-    return blocks.select("block", "held", "sizes", "tokens", "vocab").mapInArrow(run, _ASKED)
+    return blocks.select("block", "held", "sizes", "tokens", "vocab").transform(arrow_map, run, _ASKED)
 
 
 def _seat_part(table_: pa.Table, parts: int, hot: np.ndarray, mean_tokens: float) -> pa.Table:
@@ -273,7 +273,7 @@ def _words(blocks: DataFrame, parts: int) -> DataFrame:
                         columns = [pa.array([part], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([b.vocab[i:j].tobytes()], pa.binary()), pa.array([_squeeze(b.count[i:j].astype(np.uint32))], pa.binary())]
                         yield pa.RecordBatch.from_arrays(columns, ["part", "block", "a", "b"])
 
-    return blocks.select("block", "held", "sizes", "tokens", "vocab").mapInArrow(run, "part int, block long, a binary, b binary")
+    return blocks.select("block", "held", "sizes", "tokens", "vocab").transform(arrow_map, run, "part int, block long, a binary, b binary")
 
 
 class _Vocabulary:

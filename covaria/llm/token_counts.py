@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from covaria.llm.common import table, utf8_rows
+from covaria.llm.common import arrow_map, table, utf8_rows
 
 LIMIT = 2048
 
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").transform(arrow_map, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

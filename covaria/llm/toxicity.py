@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import remainder, stored, table, utf8_rows
+from covaria.llm.common import arrow_map, remainder, stored, table, utf8_rows
 
 #: The bound of the labelled sample that the classifier is fitted on, and of the learned lexicon.
 SAMPLE, LEXICON = 40_000, 20_000
@@ -207,7 +207,7 @@ def fit(labelled: DataFrame, lexicon: int = LEXICON, folds: int = 4) -> tuple[di
     rows = labelled.where("toxic is not null").select("text", F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2 * folds)).cast("int"))
     half = (F.col("fold") % 2).alias("half")
-    counts = stored(rows.select("text", "toxic", half).mapInArrow(_count_units, "fold int, unit string, a long, b long").groupBy("fold", "unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "lexicon")
+    counts = stored(rows.select("text", "toxic", half).transform(arrow_map, _count_units, "fold int, unit string, a long, b long").groupBy("fold", "unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "lexicon")
     totals = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy(half, "toxic").count().collect()}
     by_half = [_learned(counts, totals, k, lexicon) for k in (0, 1)]
 
@@ -217,7 +217,7 @@ def fit(labelled: DataFrame, lexicon: int = LEXICON, folds: int = 4) -> tuple[di
             x = [features[f % 2].row(t.decode()) for t, f in zip(utf8_rows(batch.column(0)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
 
-    got = rows.mapInArrow(measure, "doc_id long, toxic int, fold int, x array<double>").collect()
+    got = rows.transform(arrow_map, measure, "doc_id long, toxic int, fold int, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     y = np.array([r["toxic"] for r in got], float)
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], Trees, Isotonic], thre
             s = np.clip(curve(trees.margin(features([t.decode() for t in utf8_rows(batch.column(1))]))), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow_map, run, "doc_id long, score double, predicted int")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
