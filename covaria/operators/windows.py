@@ -16,8 +16,17 @@ def unfold(pixels: DataFrame, k: int, height: int, width: int, stride: int = 1)
     return rows.withColumn("wcol", F.explode(places("col", width)))
 
 
+def filled(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """pixels with a row for every place of every date; the values of absent pixels are null."""
+    grid = pixels.select("t").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    return grid.join(pixels, ["t", "row", "col"], "left")
+
+
 def box_sums(pixels: DataFrame, k: int, height: int, width: int, values: list[str]) -> DataFrame:
-    """t, wrow, wcol and the sums of values over every valid k x k window, by two range frames instead of k^2 copies."""
+    """t, wrow, wcol and the sums of values over every valid k x k window, by two range frames instead of k^2 copies.
+
+    Images must have every pixel (see filled); null values count as nothing.
+    """
     down = Window.partitionBy("t", "col").orderBy("row").rangeBetween(0, k - 1)
     across = Window.partitionBy("t", "wrow").orderBy("col").rangeBetween(0, k - 1)
     tall = pixels.select("t", F.col("row").alias("wrow"), "col", *(F.sum(v).over(down).alias(v) for v in values)).where(F.col("wrow") <= height - k)

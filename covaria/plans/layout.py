@@ -47,7 +47,7 @@ _BOX = f"SELECT t, wrow::INT AS wrow, wcol::INT AS wcol, round(sum(v), 4) + 0.0
 
 @query("h08_box_sums", _BOX)
 def _(spark, d):
-    return win.box_sums(pixels(spark, d), K, SIDE, SIDE, ["v"]).select("t", "wrow", "wcol", (F.round("v", 4) + 0.0).alias("v"))
+    return win.box_sums(win.filled(pixels(spark, d), SIDE, SIDE), K, SIDE, SIDE, ["v"]).select("t", "wrow", "wcol", (F.round("v", 4) + 0.0).alias("v"))
 
 
 @query("h09_tiles", f"SELECT trow::INT AS trow, tcol::INT AS tcol, t, count(*) AS n, round(sum(v), 4) + 0.0 AS s FROM {PIXELS} p, (SELECT unnest(range(0, 3)) AS trow) a, (SELECT unnest(range(0, 3)) AS tcol) b WHERE row >= 4 * trow AND row < 4 * trow + 6 AND col >= 4 * tcol AND col < 4 * tcol + 6 GROUP BY trow, tcol, t")
@@ -148,12 +148,14 @@ def subbands(frames, r: int = 2, l: int = 2, decimate: bool = True, convention:
     return frames.groupBy("t").applyInPandas(kernel, "t int, row int, col int, re array<double>, im array<double>")
 
 
-def scene(spark, d):
-    """pixels(t, row, col, re, im) of two channels: mean quantity and mean discount, about standardised."""
+def scene(spark, d, fill: bool = True):
+    """pixels(t, row, col, re, im) of two channels: mean quantity and mean discount, about standardised; absent ones are zero."""
     x = table(spark, d, "lineitem")
     got = x.groupBy((F.year("l_shipdate") - 1995).alias("t"), (F.col("l_orderkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col"))
     got = got.agg((F.avg("l_quantity") - 25.5).alias("a"), ((F.avg("l_discount") - 0.05) * 500).alias("b"))
-    return got.select("t", "row", "col", F.array("a", "b").alias("re"), F.lit(None).cast("array<double>").alias("im"))
+    got = win.filled(got, SIDE, SIDE) if fill else got
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return got.select("t", "row", "col", F.array(zero("a"), zero("b")).alias("re"), F.lit(None).cast("array<double>").alias("im"))
 
 
 _SCENE = f"(SELECT year(l_shipdate) - 1995 AS t, (l_orderkey % {SIDE})::INT AS row, (l_partkey % {SIDE})::INT AS col, avg(l_quantity) - 25.5 AS a, (avg(l_discount) - 0.05) * 500 AS b FROM lineitem GROUP BY 1, 2, 3)"
@@ -242,7 +244,7 @@ def _(spark, d):
 def _(spark, d):
     zero, a, b = F.lit(0.0), F.get("re", F.lit(0)), F.get("re", F.lit(1))
     colours = expr.pauli((a, zero), (b, zero), (b, zero))
-    return scene(spark, d).select("t", "row", "col", *(r6(c, n) for c, n in zip(colours, "rgb", strict=True)))
+    return scene(spark, d, fill=False).select("t", "row", "col", *(r6(c, n) for c, n in zip(colours, "rgb", strict=True)))
 
 
 # Generators that are closed forms.
