@@ -156,7 +156,7 @@ class Page:
                 weight[p] += n
             if self.tag[k] == "h1" and title is None:
                 title = paths
-        if not total:
+        if not total or not weight:
             return "", 0.0
         fit = [p for p, n in weight.items() if n >= 0.85 * total and (title is None or p in title)]
         own = [p for p, n in weight.items() if n >= 0.5 * total and p.rpartition(">")[2].partition(".")[0] in ("article", "main")]

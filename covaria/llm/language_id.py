@@ -111,8 +111,8 @@ class Model:
         return self.symbols.get(c.lower(), self.other) if c.isalpha() else 0
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols of all texts without repeated gaps, and where each text begins (and the end)."""
-        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        """The symbols of all texts, each with a gap at its end and no repeated gaps, and where each text begins (and the end)."""
+        codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         new = np.unique(codes[self.table[codes] < 0])
         for c in new.tolist():
             self.table[c] = self._symbol(c)
