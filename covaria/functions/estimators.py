@@ -108,6 +108,8 @@ def two_array_tyler(x: np.ndarray, m: int, tol: float = 1e-6, iter_max: int = 50
         live = live & (moved > tol)
         if not live.any():
             break
+    if history is not None:  # a trial that has stopped moves no more
+        history.extend(np.zeros(live.shape) for _ in range(iter_max - len(history)))
     return s
 
 

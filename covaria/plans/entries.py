@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covaria.plans import closed, detection, estimation, layout, matrices, montecarlo, streams  # noqa: F401
+from covaria.plans import closed, detection, estimation, layout, limits, matrices, montecarlo, streams  # noqa: F401
 from covaria.plans.registry import ENTRIES
 
 
