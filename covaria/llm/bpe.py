@@ -135,7 +135,7 @@ class Kinds(dict):
 class Tokens:
     """A tokenizer file's normalisation, pre-tokens, merges and decoder."""
 
-    def __init__(self, path: str, window: int = WINDOW, most: int = 1 << 18):
+    def __init__(self, path: str, window: int = WINDOW, most: int = 1 << 16):
         import regex
 
         self.kinds = Kinds(path)
@@ -242,10 +242,28 @@ class Pieces:
         self.tokens, self.most = Tokens(path), most
         self.ids: dict[bytes, bytes] = {}
         self.text: dict[bytes, bytes] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """ids and decoded bytes of one pre-token."""
+        found = self.words.get(word)
+        if found is None:
+            ids, machine = self.tokens._known(word), self.tokens.decoder()
+            found = ids, (machine.feed(array("I", ids)) + machine.end()).encode()
+            if len(self.words) > self.most:
+                self.words.clear()
+            self.words[word] = found
+        return found
 
     def _learn(self, piece: bytes) -> None:
-        ids = self.tokens.encode(piece.decode())
-        machine = self.tokens.decoder()
+        text = piece.decode()
+        head = text.rstrip(".,;:!?")
+        if head.isalpha() and max(head) <= "\u024f" and "\u0130" not in head:
+            # Latin letters, composed as they are, and a run of marks: two pre-tokens
+            found = [self._word(w) for w in (head.lower(), text[len(head) :]) if w]
+            self.ids[piece], self.text[piece] = b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])
+            return
+        ids, machine = self.tokens.encode(text), self.tokens.decoder()
         self.ids[piece], self.text[piece] = ids, (machine.feed(array("I", ids)) + machine.end()).encode()
 
     def __call__(self, text: bytes) -> tuple[bytes, bytes]:
