@@ -50,12 +50,14 @@ def counts(docs: DataFrame, keep: str | None = None) -> DataFrame:
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    # A window ends in its number, so that sorting brings equal windows together without losing their places.
     n = F.size("w")
     w = lambda i: F.get("w", i)
-    window = lambda i: F.concat(w(i), F.lit(" "), w(i + 1), F.lit(" "), w(i + 2), F.lit(" "), F.lpad(i.cast("string"), 10, "0"))
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    second = first.select("*", _once(F.sort_array(F.transform(at, window))).alias("s"))
+    windows = first.select("*", _once(F.transform(at, lambda i: F.concat(w(i), F.lit(" "), w(i + 1), F.lit(" "), w(i + 2)))).alias("v"))
+    # Where a window occurs twice, each gets its number, so that sorting brings equal ones together without losing their places.
+    numbered = F.transform("v", lambda x, i: F.concat(x, F.lit(" "), F.lpad(i.cast("string"), 10, "0")))
+    again = F.size(F.array_distinct("v")) < F.size("v")
+    second = windows.select("*", _once(F.when(again, F.sort_array(numbered)).otherwise(F.array().cast("array<string>"))).alias("s"))
     third = second.select("*", _once(F.transform("s", lambda x: x.substr(F.lit(1), F.length(x) - 10))).alias("g"))
     g = lambda i: F.get("g", i)
     twice = F.filter(
