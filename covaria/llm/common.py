@@ -133,7 +133,7 @@ def counter_rows(counts: np.ndarray, chunk: int = 1 << 15) -> Iterator[tuple[int
             yield k // chunk, zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)
 
 
-def components(edges: DataFrame, name: str = "components", most: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, root), root the smallest reachable id.
 
     Alternates the large-star and small-star steps of Kiveris et al. until no edge changes. A hub's
@@ -143,7 +143,7 @@ def components(edges: DataFrame, name: str = "components", most: int = 40) -> Da
     ab = edges.where("a <> b")
     now = stored(ab.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
-    for _ in range(most):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

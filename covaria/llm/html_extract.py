@@ -131,7 +131,17 @@ class Page:
         self._settle()
 
     def _settle(self) -> None:
-        """An element that only its names mark is kept if it holds an article, main or the first h1."""
+        """An element that only its names mark is kept if it holds an article or main, or an h1 and most of the text."""
+        held, title = [0] * len(self.tag), [False] * len(self.tag)
+        for k, text, _ in self.blocks:
+            if not self.sure[k]:
+                held[k] += len(text)
+        total = sum(held)
+        for k in range(len(self.tag) - 1, 0, -1):  # children come after their parents
+            up = self.parent[k]
+            held[up] += held[k]
+            title[up] |= title[k] or self.tag[k] == "h1"
+            self.marked[k] = self.marked[k] and not (title[k] and held[k] > 0.6 * total)
         for k, tag in enumerate(self.tag):
             if tag in ("article", "main"):
                 k = self.parent[k]

@@ -261,6 +261,15 @@ def test_html_text(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_html_marks():
+    page = lambda body: html_extract.Page(body).text("")
+    wrapper = '<div class="content has-sidebar"><h1>T</h1><p>The text of the page is here, it is long.</p><div class="sidebar">Side</div></div>'
+    assert page(f"<body>{wrapper}<div class=comments><p>said</p></div>") == "T\n\nThe text of the page is here, it is long."
+    assert page('<body><h1>T</h1><p>short</p><div class="reader-comments"><p>' + "much longer than the text " * 9 + "</p></div>") == "T\n\nshort"
+    assert page("<body><main><table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul></main>") == "a\n\nb\n\nc\n\nd\n\ne"
+    assert page("<body><article>a &amp;lt; b&nbsp;c <a href='x>y'>d</a></article>") == "a &lt; b c d"
+
+
 def test_html_consensus_outvotes_an_odd_page(spark):
     good = "<body><div class=main{k}><h1>T{k}</h1>" + "<p>long text of the article, with words</p>" * 5 + "</div><div class=extra><p>{more}</p></div>"
     rows = [(k, "http://b.example/", good.format(k=k, more="tail")) for k in range(5)] + [(9, "http://b.example/", good.format(k=9, more="much more text than the article itself has, " * 9).replace("<h1>T9</h1>", ""))]
@@ -341,6 +350,9 @@ def test_lm_base_is_exact_and_model_beats_it(spark):
         if r["held_out"]:
             model, base = model + r["score"], base + r["base_score"]
     assert model > base
+    rates = {r["held_out"]: r for r in pitman_yor.perplexity(spark.createDataFrame(list(got.values()))).collect()}
+    tokens_held = sum(r["n_tokens"] for r in got.values() if r["held_out"])
+    assert math.isclose(rates[True]["perplexity"], 10 ** (-model / tokens_held)) and rates[True]["perplexity"] < rates[True]["base_perplexity"]
 
 
 def test_lm_probabilities_sum_to_about_one(spark):
