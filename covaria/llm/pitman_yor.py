@@ -30,6 +30,9 @@ BLOCK_TOKENS = 1 << 21
 THETA, SWEEPS, BURN_IN, MOVES = 2.0, 5, 2, 8
 #: The questions about bigrams are asked in so many rounds, so that only one round's are on disk at once.
 ROUNDS = 2
+#: A block names the tokens above this share of its own; contexts dealt over all parts are found among them.
+#: With more parts than a quarter of it, block_tokens should be raised.
+HEAVY = 1 << 16
 _END = b"\n"  # no word: words have no white space
 _48 = np.uint64(16)
 
@@ -70,8 +73,7 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             n = np.array(sizes, np.int64)
             train = ~np.repeat(np.array(held, bool), n)
             count = np.bincount(tokens[train], minlength=len(vocab))
-            order = np.argsort(-count, kind="stable")[:4096]
-            heavy = order[count[order] > 0]
+            heavy = np.flatnonzero(count > train.sum() / HEAVY)
             columns = [
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_squeeze(np.array(held, np.uint8))], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
                 pa.array([_squeeze(tokens.astype(np.uint32), 6)], pa.binary()), pa.array([vocab.tobytes()], pa.binary()), pa.array([int(train.sum())], pa.int64()),
@@ -206,9 +208,9 @@ def _ask(blocks: DataFrame, parts: int, hot: np.ndarray, asked: range) -> DataFr
                 b = Block(row, parts, hot)
                 n = np.bincount(b.pair[b.train], minlength=len(b.u))
                 level = np.minimum(255, np.round(8 * np.log2(b.count + 1))).astype(np.uint8)
-                for part in asked:
-                    at, u, runs = b.runs(part)
-                    if len(at):
+                for part in np.flatnonzero(np.diff(b.edges)).tolist():
+                    if part in asked:
+                        at, u, runs = b.runs(part)
                         v = b.vocab
                         yield pa.RecordBatch.from_arrays([
                             pa.array([part], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([_pack48(v[u] >> _48)], pa.binary()), pa.array([_squeeze(runs.astype(np.uint32))], pa.binary()),
@@ -267,11 +269,10 @@ def _words(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Vocabulary(row, parts)
-                for part in range(parts):
+                for part in np.flatnonzero(np.diff(b.edges)).tolist():
                     i, j = b.edges[part], b.edges[part + 1]
-                    if j > i:
-                        columns = [pa.array([part], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([b.vocab[i:j].tobytes()], pa.binary()), pa.array([_squeeze(b.count[i:j].astype(np.uint32))], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, ["part", "block", "a", "b"])
+                    columns = [pa.array([part], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([b.vocab[i:j].tobytes()], pa.binary()), pa.array([_squeeze(b.count[i:j].astype(np.uint32))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "block", "a", "b"])
 
     return blocks.select("block", "held", "sizes", "tokens", "vocab").transform(arrow_map, run, "part int, block long, a binary, b binary")
 
@@ -393,6 +394,12 @@ def lm_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     return left.cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b, parts, hot, values, n_train, n_words, customers, tables), _SCORED)
 
 
+def perplexity(scores: DataFrame) -> DataFrame:
+    """held_out, tokens, perplexity of the model and of the base, from lm_scores."""
+    per_token = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scores.groupBy("held_out").agg(F.sum("n_tokens").alias("tokens"), per_token("score").alias("perplexity"), per_token("base_score").alias("base_perplexity"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_scores(docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text"))
