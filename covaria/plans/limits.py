@@ -161,11 +161,12 @@ def compound_sql(source: str, keys: str, dates: int, n: int, steps: int, digits:
     return "WITH " + ", ".join(parts) + f" SELECT {own('s')}, round({dates * n} * ln(s.a * s.c - s.b * s.b) - {n} * d1.l + {2 * dates} * q0.l - 2 * q1.l, {digits}) + 0.0 AS stat FROM j{steps} s {joins}"
 
 
-_WINDOWS = f"(SELECT wrow::INT AS wrow, wcol::INT AS wcol, t, (row - wrow) * 3 + col - wcol AS n, a AS x0, b AS x1 FROM {_SCENE} p, (SELECT unnest(range(0, 10)) AS wrow) y, (SELECT unnest(range(0, 10)) AS wcol) z WHERE row BETWEEN wrow AND wrow + 2 AND col BETWEEN wcol AND wcol + 2)"
+_WINDOWS = f"(SELECT * FROM (SELECT wrow::INT AS wrow, wcol::INT AS wcol, t, (row - wrow) * 3 + col - wcol AS n, a AS x0, b AS x1, count(*) OVER (PARTITION BY wrow, wcol) AS whole FROM {_SCENE} p, (SELECT unnest(range(0, 10)) AS wrow) y, (SELECT unnest(range(0, 10)) AS wcol) z WHERE row BETWEEN wrow AND wrow + 2 AND col BETWEEN wcol AND wcol + 2) v WHERE whole = 63)"
 
 
 @query("i02_offline_compound_map_steps", compound_sql(_WINDOWS, "wrow, wcol", 7, K * K, 2, 3))
 def _(spark, d):
+    """Windows that lack a pixel on some date have no result."""
     got = detect(windowed(scene(spark, d, fill=False)), ["wrow", "wcol"], lambda x: det.compound_glrt(x, 0.0, 2)).where("stat is not null")
     return got.select("wrow", "wcol", (F.round("stat", 3) + 0.0).alias("stat"))
 
