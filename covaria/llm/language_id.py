@@ -1,9 +1,11 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a reference: labelled text of one fixed length, letters in lower case with runs of
-anything else as one gap. Its suffix automaton, completed so that every step is one table look-up, parses
-a text into the longest phrases that occur in the reference. The language that needs the fewest phrases
-a character wins. Texts are parsed in blocks, all blocks of a batch in step, by array operations.
+Each language has a reference: labelled text, letters in lower case with runs of anything else as one gap.
+Its suffix automaton, completed so that every step is one table look-up, parses a text into the longest
+phrases that occur in the reference. Phrases from a shorter reference are shorter by nature: their number
+is weighed by the bits that name a place in the reference or a symbol, as whole phrases of the longest
+reference. The language that needs the fewest wins. Texts are parsed in blocks, all blocks of a batch in
+step, by array operations.
 """
 
 from __future__ import annotations
@@ -92,19 +94,20 @@ class Automaton:
 
 
 class Model:
-    """References of equal length, and the alphabet that they share."""
+    """References, each of its own length, and the alphabet that they share; a text without a letter is no reference."""
 
     def __init__(self, texts: dict[str, str]):
-        self.langs = sorted(texts)
-        letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
+        self.langs = sorted(lang for lang, t in texts.items() if any(c.isalpha() for c in t))
+        letters = sorted({c for lang in self.langs for c in texts[lang].lower() if c.isalpha()})
         self.symbols = {c: k + 1 for k, c in enumerate(letters)}  # 0: a gap
         self.n = len(letters) + 2  # the last: letters of no reference
         self.other = self.n - 1
         self.table = np.zeros(0x110000, np.int16)
         self.table[:] = -1
-        parsed = {lang: self.read([texts[lang]])[0] for lang in self.langs}
-        size = min(map(len, parsed.values()), default=0)
-        self.automata = [Automaton(parsed[lang][:size], self.n) for lang in self.langs]
+        parsed = [self.read([texts[lang]])[0] for lang in self.langs]
+        self.automata = [Automaton(p, self.n) for p in parsed]
+        bits = np.log2([self.n + len(p) for p in parsed])
+        self.weights = bits / bits.max(initial=0)
 
     def _symbol(self, code: int) -> int:
         c = chr(code)
@@ -129,7 +132,7 @@ class Model:
         return symbols[keep], at[np.minimum(starts, len(symbols))]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """lang (und: no letter) and score: the runner-up's share of the two fewest phrases, 1 without one."""
+        """lang (und: no letter) and score: the runner-up's share of the two fewest weighed phrases, 1 without one."""
         symbols, at = self.read(texts)
         sizes = np.diff(at)
         blocks = -(-sizes // BLOCK)
@@ -147,6 +150,7 @@ class Model:
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         phrases = np.array([np.bincount(owner, a.phrases(rows, lengths), len(texts)) for a in self.automata])
+        phrases = np.ceil(phrases * self.weights[:, None] - 1e-9)
         ranked = np.sort(phrases, axis=0)
         best = ranked[0]
         second = ranked[1] if len(ranked) > 1 else np.full_like(best, np.inf)

@@ -308,6 +308,17 @@ def test_cross_parsing_equals_substring_search(spark):
         assert 0 <= s <= 1
 
 
+def test_rare_languages_leave_the_others_alone(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows[:100]] + [(-1, "Jumps fox over quick the lazy brown dog.", "aa"), (-2, "12 34 !?", "ab")], "doc_id long, text string, lang string")
+    model = language_id.Model(language_id.reference_texts(docs))
+    some = [r for r in rows[100:] if len(r["text"] or "") > 100 and r["lang"]]
+    langs, _ = model.predict([r["text"] for r in some])
+    assert "ab" not in model.langs and sum(lang == r["lang"] for lang, r in zip(langs, some, strict=True)) > 0.97 * len(some)
+    assert model.predict(["quick the lazy brown dog"])[0] == ["aa"]
+    assert language_id.Model({"ab": "12"}).predict(["text"]) == (["und"], [0.0])
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = language_id.op3(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
