@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from covaria.llm.common import arrow_map, table, utf8_rows
 
 #: Elements by what they do to the text around them.
-_SKIPPED = "script|style|title|textarea|noscript|template|svg|iframe|select|button|object|canvas|head|video|audio|math"
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "iframe")}  # without an end tag, up to the page's end
+_SKIPPED = frozenset("noscript template svg select button object canvas video audio".split())
+_ALONE = frozenset("noscript select button".split())  # do not nest
 _BLOCKS = frozenset(
     "html body main article section div header footer nav aside form ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary fieldset legend hr center dialog menu hgroup".split()
@@ -37,7 +39,7 @@ _MARKS = frozenset(
     "recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_SKIPPED})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
@@ -46,6 +48,66 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _tokens(source: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, end tag or not, attributes) of each piece of markup; tag '': comments and the like, and elements of raw text with their text."""
+    out, at, drawing = [], 0, False
+    while m := _TAG.search(source, at):
+        at, tag, closing = m.end(), (m[2] or "").lower(), bool(m[1])
+        if tag == "svg":
+            drawing = not closing and not m[3].endswith("/")
+        elif tag in _BLOCKS:
+            drawing = False
+        elif tag in _RAW and not closing and not drawing:
+            end = _RAW[tag].search(source, at)
+            at, tag = end.end() if end else len(source), ""
+        out.append((m.start(), at, tag, closing, m[3] or ""))
+    return out
+
+
+def _skips(tokens: list[tuple[int, int, str, bool, str]], length: int) -> dict[int, tuple[int, int]]:
+    """For each start tag of a skipped element, the token and the place where reading goes on.
+
+    That is after its end tag; an element without one, or whose parent ends first, goes up to the next tag
+    of a block only. One pass, whatever is left open.
+    """
+    stack: list[tuple[int, str]] = []
+    count: dict[str, int] = defaultdict(int)
+    out: dict[int, tuple[int, int]] = {}
+    opened, until = [], {}
+    for k, (_, end, tag, closing, attributes) in enumerate(tokens):
+        skipped = tag in _SKIPPED
+        if not skipped and tag not in _BLOCKS:
+            continue
+        if count[tag] and (closing or tag in _ALONE):
+            while True:
+                j, t = stack.pop()
+                count[t] -= 1
+                if t == tag:
+                    break
+            if skipped and closing:
+                out[j] = (k + 1, end)
+            elif skipped:
+                until[j] = k
+        if closing or tag in _VOID or tag == "svg" and attributes.endswith("/"):
+            continue
+        if tag in _CLOSES_P and stack and stack[-1][1] == "p":
+            stack.pop()
+            count["p"] -= 1
+        stack.append((k, tag))
+        count[tag] += 1
+        if skipped:
+            opened.append(k)
+    block = len(tokens)
+    left = [j for j in opened if j not in out]
+    for k in range(len(tokens) - 1, left[0] - 1 if left else len(tokens), -1):
+        if tokens[k][2] in _BLOCKS:
+            block = k
+        elif left and left[-1] == k:
+            to = min(block, until.get(left.pop(), block))
+            out[k] = (to, tokens[to][0] if to < len(tokens) else length)
+    return out
+
+
 class Page:
     """The blocks of a page: their texts, and for each element on the way to them its path and whether it is dropped."""
 
@@ -91,18 +153,17 @@ class Page:
                 text.clear()
             links = 0
 
-        for m in _TAG.finditer(source):
-            if m.start() > at:
-                text.append(source[at : m.start()])
+        tokens, k = _tokens(source), 0
+        skips = _skips(tokens, len(source))
+        while k < len(tokens):
+            start, end, tag, closing, attributes = tokens[k]
+            if start > at:
+                text.append(source[at:start])
                 if in_link:
-                    links += m.start() - at
-            at = m.end()
-            tag = m[3]
-            if tag is None:
-                continue
-            tag = tag.lower()
+                    links += start - at
+            k, at = skips.get(k, (k + 1, end))
             if tag == "a":
-                in_link = not m[2]
+                in_link = not closing
             elif tag == "br" or tag == "wbr":
                 if tag == "br":
                     text.append(" ")
@@ -110,21 +171,21 @@ class Page:
                 flush()
                 in_link = False
                 tags = [self.tag[k] for k in stack]
-                if m[2]:
+                if closing:
                     if tag in tags:
                         del stack[len(tags) - 1 - tags[::-1].index(tag) :]
                     continue
                 if tags[-1] == "p" and tag in _CLOSES_P:
                     stack.pop()
                 elif tag in _ONE_OF:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[k] in _ONE_OF[tag]:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if tags[i] in _ONE_OF[tag]:
                             break
-                        if tags[k] == tag or (tags[k] in ("dt", "dd") and tag in ("dt", "dd")) or (tags[k] in ("td", "th") and tag in ("td", "th")):
-                            del stack[k:]
+                        if tags[i] == tag or (tags[i] in ("dt", "dd") and tag in ("dt", "dd")) or (tags[i] in ("td", "th") and tag in ("td", "th")):
+                            del stack[i:]
                             break
                 if tag not in _VOID:
-                    stack.append(self._open(stack[-1], tag, m[4]))
+                    stack.append(self._open(stack[-1], tag, attributes))
         if at < len(source):
             text.append(source[at:])
         flush()

@@ -270,6 +270,19 @@ def test_html_marks():
     assert page("<body><article>a &amp;lt; b&nbsp;c <a href='x>y'>d</a></article>") == "a &lt; b c d"
 
 
+def test_html_elements_without_an_end_tag():
+    page = lambda body: html_extract.Page(body).text("")
+    for odd in ("<svg class=i/>", "<svg><path d='M0'/>", "<svg/><svg><title>t</svg>", "<svg><style/><text>t</text></svg>", "<button>t", "<select><option>t", "<video src=v>", "<noscript>t", "<svg>t<svg>u</svg>"):
+        assert page(f"<p>one</p>{odd}<p>two</p>") == page(f"<div><p>one{odd}</p><p>two</p></div><p><svg>x</svg>") == "one\n\ntwo", odd
+    assert page("<html><head><meta charset=u><title>T</title><style>p{}</style><link rel=x><body><h1>H</h1><p>two</p>") == "H\n\ntwo"
+    assert page("<head><title>T</title><p>one</p>") == "one"
+    assert page("<p>one <math><mi>x</mi><mo>=</mo><mn>1</mn></math> two</p>") == "one x=1 two"
+    assert page("<p>a<button>b<p>c</p></button>d<svg>e<svg>f</svg>g</svg>h</p>") == "adh"
+    assert page("<p>one</p><script>var x = '<p>';") == page("<p>one</p><textarea>two<p>three") == "one"
+    odd = "<svg><button>t" * 20_000
+    assert page(f"<p>one</p>{odd}<p>two</p>") == "one\n\ntwo"
+
+
 def test_html_consensus_outvotes_an_odd_page(spark):
     good = "<body><div class=main{k}><h1>T{k}</h1>" + "<p>long text of the article, with words</p>" * 5 + "</div><div class=extra><p>{more}</p></div>"
     rows = [(k, "http://b.example/", good.format(k=k, more="tail")) for k in range(5)] + [(9, "http://b.example/", good.format(k=9, more="much more text than the article itself has, " * 9).replace("<h1>T9</h1>", ""))]
