@@ -70,12 +70,21 @@ def compound_cost(x, s, tau):
 
 
 def compound_step(state, x, alpha_0=0.1, backtracks=5, iter_max=200, tol=1e-8):
-    """Running compound Gaussian statistic; state: (shape, textures, cost under H0, cost under H1, dates)."""
+    """Running compound Gaussian statistic; state: (shape, textures, cost under H0, cost under H1, dates).
+
+    Dates may differ in their numbers of samples: a sample that no date had before begins with its own
+    texture; the texture of one that a date lacks stays as it is.
+    """
     own = est.natural_gradient(x, tol, iter_max)
-    running = own if state is None else est.natural_gradient_step(x, state[:2], alpha_0, armijo_max_backtracks=backtracks)
+    n = x.shape[-2]
+    if state is None:
+        running, absent = own, own[1][..., n:]
+    else:
+        known = np.concatenate([state[1][..., :n], own[1][..., state[1].shape[-1] :]], -1)
+        running, absent = est.natural_gradient_step(x, (state[0], known), alpha_0, armijo_max_backtracks=backtracks), state[1][..., n:]
     h0, h1, t = (0.0, 0.0, 0) if state is None else state[2:]
     h0, h1 = h0 + compound_cost(x, *running), h1 + compound_cost(x, *own)
-    return 2 * (h0 - h1), (*running, h0, h1, t + 1)
+    return 2 * (h0 - h1), (running[0], np.concatenate([running[1], absent], -1), h0, h1, t + 1)
 
 
 def kronecker_cost(x, a_mat, b_mat, tau):

@@ -45,10 +45,4 @@ def _(spark, d):
     return got.select("key", F.date_format("t", "yyyy-MM-dd").alias("day"), F.col("n_dates").cast("long").alias("n_dates"), (F.round("stat", 5) + 0.0).alias("stat"))
 
 
-query("e10_stream_compound")(lambda spark, d: replayed(event_samples(table(spark, d, "events")).where("t < '2024-01-04'").withColumn("k", F.row_number().over(_first())).where("k <= 7").drop("k"), lambda s, x: det.compound_step(s, x, iter_max=20), "2 days", 7))
-
-
-def _first():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key", "t").orderBy(F.col("re"))
+query("e10_stream_compound")(lambda spark, d: replayed(event_samples(table(spark, d, "events")), lambda s, x: det.compound_step(s, x, iter_max=20), "2 days", 3))

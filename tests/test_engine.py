@@ -1,5 +1,7 @@
 """Group engine, native operators, windows, decisions, files and streaming on Spark."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from covaria.functions import estimators as est
 from covaria.functions import expr, sonar_expr
 from covaria.operators import adaptive, decide, groups, windows
 from covaria.operators import moments as mom
+from covaria.plans import entries
 from covaria.sources import files
 from covaria.sources import generate as gen
 from covaria.streaming.online import event_samples, online
@@ -175,3 +178,19 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(v["key"], v["t"]): (v["n_dates"], v["stat"]) for v in mom.glrt_running(flat, ["key"], "t", ["x0", "x1"]).collect()}
     assert want and set(got) == set(want)
     assert all(got[k][0] == v[0] and np.isclose(got[k][1], v[1], atol=1e-8) for k, v in want.items())
+
+
+def test_compound_stream_replays_all_events(spark):
+    """Every day of every type, each with all its events, as the step gives them without a stream."""
+    sf = "/root/testdata/sf0.001"
+    days = defaultdict(list)
+    for r in event_samples(spark.read.parquet(f"{sf}/events.parquet")).where("key is not null and t is not null").collect():
+        days[r["key"], r["t"]].append(r["re"])
+    state, want = {}, {}
+    for (key, t), x in sorted(days.items()):
+        if len(x) >= 3:
+            want[key, t], state[key] = det.compound_step(state.get(key), np.array(sorted(x)), iter_max=20)
+    got = {(r["key"], r["t"]): r["stat"] for r in entries.queries()["e10_stream_compound"](spark, sf).collect()}
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+    assert all(s[1].shape[-1] == max(len(x) for (k, _), x in days.items() if k == key) for key, s in state.items())
