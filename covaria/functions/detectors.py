@@ -18,6 +18,8 @@ def gaussian_glrt(x: np.ndarray) -> np.ndarray:
 
 def two_step_glrt(x: np.ndarray, estimate) -> np.ndarray:
     """The same with another estimator, once for all dates' samples and once a date."""
+    if isinstance(x, list):  # dates of unequal sizes
+        return len(x) * logdet(estimate(np.concatenate(x, -2))) - sum(logdet(estimate(y)) for y in x)
     t, n, p = x.shape[-3:]
     return t * logdet(estimate(x.reshape(*x.shape[:-3], t * n, p))) - logdet(estimate(x)).sum(-1)
 
@@ -31,7 +33,17 @@ def tyler_glrt(x, tol=1e-4, iter_max=50):
 
 
 def compound_glrt(x: np.ndarray, tol: float = 1e-4, iter_max: int = 50, convention: str = "consistent") -> np.ndarray:
-    """Deterministic compound Gaussian: shape and one texture a sample, equal over dates or not."""
+    """Deterministic compound Gaussian: shape and one texture a sample, equal over dates or not.
+
+    x may be a list of dates (..., N_t, p) of unequal sizes.
+    """
+    if isinstance(x, list):
+        whole, dates = est.padded(x)
+        p = whole.shape[-1]
+        s0, s1 = est.matrix_and_texture(whole, tol, iter_max, convention, dates), [est.tyler(y, "trace", tol, iter_max) for y in x]
+        q0 = quadratic(whole, np.linalg.inv(s0)[..., None, :, :]).sum(-2) / dates
+        own = sum(y.shape[-2] * logdet(s) + p * np.log(quadratic(y, np.linalg.inv(s))).sum(-1) for y, s in zip(x, s1, strict=True))
+        return dates.sum() * logdet(s0) + p * (dates * np.log(q0)).sum(-1) - own
     t, n, p = x.shape[-3:]
     s0, s1 = est.matrix_and_texture(x, tol, iter_max, convention), est.tyler(x, "trace", tol, iter_max)
     q0 = quadratic(x, np.linalg.inv(s0)[..., None, :, :]).mean(-2)
@@ -40,7 +52,18 @@ def compound_glrt(x: np.ndarray, tol: float = 1e-4, iter_max: int = 50, conventi
 
 
 def kronecker_glrt(x: np.ndarray, a: int, b: int, tol: float = 1e-4, iter_max: int = 30) -> np.ndarray:
-    """Compound Gaussian with a Kronecker-structured shape; log det (A x B) = b log det A + a log det B."""
+    """Compound Gaussian with a Kronecker-structured shape; log det (A x B) = b log det A + a log det B.
+
+    x may be a list of dates (..., N_t, p) of unequal sizes.
+    """
+    if isinstance(x, list):
+        p = a * b
+        a0, b0, t0, dates = est.kronecker_mm_shared(x, a, b, tol, iter_max)
+        own = 0
+        for y in x:
+            a1, b1, t1 = est.kronecker_mm(y, a, b, tol, iter_max)
+            own = own + y.shape[-2] * (b * logdet(a1) + a * logdet(b1)) + p * np.log(t1).sum(-1)
+        return dates.sum() * (b * logdet(a0) + a * logdet(b0)) + p * (dates * np.log(t0)).sum(-1) - own
     t, n, p = x.shape[-3:]
     a0, b0, t0 = est.kronecker_mm(x, a, b, tol, iter_max, shared=True)
     a1, b1, t1 = est.kronecker_mm(x, a, b, tol, iter_max)
@@ -94,20 +117,27 @@ def kronecker_cost(x, a_mat, b_mat, tau):
 
 
 def kronecker_step(state, x, a, b, alpha_0=0.1, backtracks=5, iter_max=30, tol=1e-4):
-    """Running Kronecker statistic; state: (A, B, textures, cost under H0, cost under H1, dates)."""
+    """Running Kronecker statistic; state: (A, B, textures, cost under H0, cost under H1, dates).
+
+    Dates may differ in their numbers of samples, as in `compound_step`.
+    """
     own = est.kronecker_mm(x, a, b, tol, iter_max)
-    t = 0 if state is None else state[5]
-    running = own if state is None else est.kronecker_online_step(x, state[:3], t + 1, alpha_0, armijo_max_backtracks=backtracks)
+    t, n = 0 if state is None else state[5], x.shape[-2]
+    if state is None:
+        running = own
+    else:
+        known = np.concatenate([state[2], own[2][..., state[2].shape[-1] :]], -1)
+        running = est.kronecker_online_step(x, (*state[:2], known), t + 1, alpha_0, armijo_max_backtracks=backtracks)
     h0, h1 = (0.0, 0.0) if state is None else state[3:5]
-    h0, h1 = h0 + kronecker_cost(x, *running), h1 + kronecker_cost(x, *own)
+    h0, h1 = h0 + kronecker_cost(x, *running[:2], running[2][..., :n]), h1 + kronecker_cost(x, *own)
     return 2 * (h0 - h1), (*running, h0, h1, t + 1)
 
 
 def fold(x: np.ndarray, step) -> np.ndarray:
-    """The running statistic of (..., T, N, p) after every date: (..., T)."""
+    """The running statistic of (..., T, N, p), or of a list of dates (..., N_t, p), after every date: (..., T)."""
     state, out = None, []
-    for t in range(x.shape[-3]):
-        stat, state = step(state, x[..., t, :, :])
+    for y in x if isinstance(x, list) else np.moveaxis(x, -3, 0):
+        stat, state = step(state, y)
         out.append(stat)
     return np.stack(out, -1)
 

@@ -74,15 +74,18 @@ def huber(x, limit=np.inf, beta=1.0, normalization=None, tol=1e-4, iter_max=50,
     return fixed_point(x, lambda q, p: huber_weight(q, p, limit, beta), tol, iter_max, normalization, **more)
 
 
-def matrix_and_texture(x: np.ndarray, tol: float = 1e-4, iter_max: int = 50, convention: str = "consistent") -> np.ndarray:
-    """Tyler's estimate over dates (..., T, N, p) whose samples share a texture over time; trace p."""
+def matrix_and_texture(x: np.ndarray, tol: float = 1e-4, iter_max: int = 50, convention: str = "consistent", weight=1) -> np.ndarray:
+    """Tyler's estimate over dates (..., T, N, p) whose samples share a texture over time; trace p.
+
+    weight: of each sample, the number of dates that have it where they differ (`padded`).
+    """
     p, n = x.shape[-1], x.shape[-2]
     s = np.broadcast_to(np.eye(p, dtype=x.dtype), (*x.shape[:-3], p, p)).copy()
     live = np.ones(s.shape[:-2], bool)
     y = np.conj(x) if convention == "mixed" else x
     for _ in range(iter_max):
         texture = quadratic(x, np.linalg.inv(s)[..., None, :, :]).sum(-2)
-        new = normalise(p / n * np.einsum("...tni,...n,...tnj->...ij", y, 1 / texture, np.conj(y), optimize=True), "trace")
+        new = normalise(p / n * np.einsum("...tni,...n,...tnj->...ij", y, weight / texture, np.conj(y), optimize=True), "trace")
         moved = np.linalg.norm(new - s, axis=(-2, -1)) / np.linalg.norm(s, axis=(-2, -1))
         s = np.where(live[..., None, None], new, s)
         live = live & (moved > tol)
@@ -91,6 +94,13 @@ def matrix_and_texture(x: np.ndarray, tol: float = 1e-4, iter_max: int = 50, con
     return s
 
 
+def padded(dates: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Dates (..., N_t, p) as one array (..., T, N, p), zero where a date lacks a sample, and how many dates have each."""
+    n = max(x.shape[-2] for x in dates)
+    fill = [np.concatenate([x, np.zeros((*x.shape[:-2], n - x.shape[-2], x.shape[-1]), x.dtype)], -2) for x in dates]
+    return np.stack(fill, -3), sum((np.arange(n) < x.shape[-2]).astype(int) for x in dates)
+
+
 def two_array_tyler(x: np.ndarray, m: int, tol: float = 1e-6, iter_max: int = 500, history: list | None = None) -> np.ndarray:
     """Tyler's estimate for two arrays of m sensors, each with a texture of its own; trace 2m."""
     k = x.shape[-2]
@@ -176,12 +186,15 @@ def natural_gradient(x, tol=1e-8, iter_max=200, alpha_0=1.0, armijo_c=1e-4, armi
 
 
 def natural_gradient_step(x, state, alpha_0=0.1, armijo_c=1e-4, armijo_rho=0.5, armijo_max_backtracks=5):
-    """One online update from a new date: a single Armijo step from the running estimate."""
+    """One online update from a new date: a single Armijo step from the running estimate.
+
+    Textures of samples beyond the date's own stay as they are.
+    """
     n, p = x.shape[-2:]
-    s, tau = state
+    s, tau, absent = state[0], state[1][..., :n], state[1][..., n:]
     gradient = scaled_gaussian_gradient(x, s, tau)
     best, _ = _descend(lambda a, b: scaled_gaussian_loss(x, a, b), ScaledGaussianFIM(p, n), [s, tau], list(gradient), alpha_0, armijo_c, armijo_rho, armijo_max_backtracks)
-    return tuple(best)
+    return best[0], np.concatenate([best[1], absent], -1)
 
 
 # Kronecker-structured scatter: x = vec(M) by columns, M of b rows and a columns.
@@ -232,6 +245,13 @@ def kronecker_mm(x: np.ndarray, a: int, b: int, tol: float = 1e-4, iter_max: int
     return a_mat, b_mat, q.reshape(*batch, dates, n).mean(-2) if shared else q
 
 
+def kronecker_mm_shared(dates: list[np.ndarray], a: int, b: int, tol: float = 1e-4, iter_max: int = 30):
+    """A, B, textures shared over dates (..., N_t, p) of any sizes, and how many dates have each sample."""
+    a_mat, b_mat, q = kronecker_mm(np.concatenate(dates, -2), a, b, tol, iter_max)
+    whole, count = padded([v[..., None] for v in np.split(q, np.cumsum([x.shape[-2] for x in dates])[:-1], -1)])
+    return a_mat, b_mat, whole[..., 0].sum(-2) / count, count
+
+
 def kronecker_loss(x, a_mat, b_mat, tau):
     a, b = a_mat.shape[-1], b_mat.shape[-1]
     q = kronecker_forms(as_matrices(x, a, b), np.linalg.inv(a_mat), np.linalg.inv(b_mat))
@@ -251,15 +271,18 @@ def kronecker_gradient(x, a_mat, b_mat, tau, convention: str = "consistent"):
 
 
 def kronecker_online_step(x, state, t, alpha_0=0.1, armijo_c=1e-4, armijo_rho=0.5, armijo_max_backtracks=5, max_exp_tau=3.0):
-    """One online update: an Armijo step of alpha_0 / t; a row's texture step is bounded by its own exponent."""
-    a_mat, b_mat, tau = state
-    a, b, n = a_mat.shape[-1], b_mat.shape[-1], x.shape[-2]
+    """One online update: an Armijo step of alpha_0 / t; a row's texture step is bounded by its own exponent.
+
+    Textures of samples beyond the date's own stay as they are.
+    """
+    a, b, n = state[0].shape[-1], state[1].shape[-1], x.shape[-2]
+    a_mat, b_mat, tau, absent = state[0], state[1], state[2][..., :n], state[2][..., n:]
     r_a, r_b, r_tau = kronecker_gradient(x, a_mat, b_mat, tau)
     alpha = alpha_0 / t
     most = np.abs(r_tau / tau).max(-1, keepdims=True) * alpha
     r_tau = np.where(most > max_exp_tau, r_tau * max_exp_tau / np.maximum(most, 1e-300), r_tau)
     best, _ = _descend(lambda u, v, w: kronecker_loss(x, u, v, w), KroneckerScaledGaussian(a, b, n), [a_mat, b_mat, tau], [r_a, r_b, r_tau], alpha, armijo_c, armijo_rho, armijo_max_backtracks)
-    return tuple(best)
+    return best[0], best[1], np.concatenate([best[2], absent], -1)
 
 
 def shrink(s: np.ndarray, alpha: float = 0.1) -> np.ndarray:

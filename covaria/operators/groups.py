@@ -33,18 +33,18 @@ def _edges(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]]) if table.num_rows else np.array([0])
 
 
-def _run(table: pa.Table, keys: list[str], kernel: Callable, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+def _run(table: pa.Table, keys: list[str], kernel: Callable, names: list[str], schema: pa.Schema, uneven: bool = False) -> pa.RecordBatch:
     edges, x = _edges(table, keys), _samples(table)
     t = table.column("t").combine_chunks().to_numpy(zero_copy_only=False)
-    shapes: dict[tuple[int, int], list[int]] = defaultdict(list)
+    shapes: dict[tuple[int, ...], list[int]] = defaultdict(list)  # by the dates' sizes
     for g, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        dates = int((np.diff(t[i:j]) != 0).sum()) + 1
-        even = (j - i) % dates == 0 and (t[i:j].reshape(dates, -1) == t[i:j].reshape(dates, -1)[:, :1]).all()
-        if even:
-            shapes[dates, (j - i) // dates].append(g)
+        sizes = tuple(np.diff([0, *(np.flatnonzero(np.diff(t[i:j])) + 1), j - i]).tolist())
+        if uneven or len(set(sizes)) == 1:
+            shapes[sizes].append(g)
     out: dict[str, list] = {name: [None] * (len(edges) - 1) for name in names}
-    for (dates, n), groups in shapes.items():
-        stack = np.stack([x[edges[g] : edges[g + 1]] for g in groups]).reshape(len(groups), dates, n, -1)
+    for sizes, groups in shapes.items():
+        stack = np.stack([x[edges[g] : edges[g + 1]] for g in groups])
+        stack = stack.reshape(len(groups), len(sizes), sizes[0], -1) if len(set(sizes)) == 1 else np.split(stack, np.cumsum(sizes)[:-1], 1)
         for name, values in kernel(stack).items():
             values = np.asarray(values)
             flat = values.tolist() if values.ndim == 1 else values.reshape(len(groups), -1).tolist()
@@ -55,11 +55,12 @@ def _run(table: pa.Table, keys: list[str], kernel: Callable, names: list[str], s
     return pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
 
-def by_group(obs: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dict[str, np.ndarray]], out: str) -> DataFrame:
+def by_group(obs: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dict[str, np.ndarray]], out: str, uneven: bool = False) -> DataFrame:
     """One row a group of obs(keys, t, n, re[, im]): the keys and the columns `out` that the kernel returns.
 
     The kernel gets (groups, dates, samples, features) and returns an array a column, first axis groups. A
-    group whose dates have unequal numbers of samples has null results. Rows with a null re are left out; a
+    group whose dates have unequal numbers of samples has null results, or, if uneven, is given to the kernel
+    as a list of its dates, each (groups, samples, features). Rows with a null re are left out; a
     null key is a group of its own; a null im means real data. An empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,11 +78,11 @@ def by_group(obs: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dic
             table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
             edges = _edges(table, keys)
             if len(edges) > 2:
-                yield _run(table.slice(0, int(edges[-2])), keys, kernel, names, arrow)
+                yield _run(table.slice(0, int(edges[-2])), keys, kernel, names, arrow, uneven)
                 table = table.slice(int(edges[-2]))
             held = [table]
         if held and held[0].num_rows:
-            yield _run(pa.concat_tables(held), keys, kernel, names, arrow)
+            yield _run(pa.concat_tables(held), keys, kernel, names, arrow, uneven)
 
     return rows.mapInArrow(run, schema)
 
@@ -98,13 +99,13 @@ def estimate(obs: DataFrame, keys: list[str], estimator: Callable[[np.ndarray],
     return by_group(obs, keys, kernel, "sigma_re array<double>, sigma_im array<double>")
 
 
-def detect(obs: DataFrame, keys: list[str], statistic: Callable[[np.ndarray], np.ndarray], name: str = "stat") -> DataFrame:
+def detect(obs: DataFrame, keys: list[str], statistic: Callable[[np.ndarray], np.ndarray], name: str = "stat", uneven: bool = False) -> DataFrame:
     """keys, stat: a statistic of (..., T, N, p) for each group."""
-    return by_group(obs, keys, lambda x: {name: statistic(x)}, f"{name} double")
+    return by_group(obs, keys, lambda x: {name: statistic(x)}, f"{name} double", uneven)
 
 
-def running(obs: DataFrame, keys: list[str], step: Callable) -> DataFrame:
+def running(obs: DataFrame, keys: list[str], step: Callable, uneven: bool = False) -> DataFrame:
     """keys, stats: an online statistic after each date of a group, as an array over its dates."""
     from covaria.functions.detectors import fold
 
-    return by_group(obs, keys, lambda x: {"stats": fold(x, step)}, "stats array<double>")
+    return by_group(obs, keys, lambda x: {"stats": fold(x, step)}, "stats array<double>", uneven)

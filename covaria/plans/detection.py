@@ -11,7 +11,7 @@ from covaria.operators import decide
 from covaria.operators import moments as mom
 from covaria.operators.adaptive import adaptive, unpivoted
 from covaria.operators.groups import detect, running
-from covaria.plans.registry import SERIES, dated, observations, query, r6, samples_sql, series, table
+from covaria.plans.registry import SERIES, dated, observations, query, r6, samples_sql, series, spread, table
 from covaria.sources import generate as gen
 
 
@@ -62,8 +62,8 @@ _DK = f"(SELECT g, t, ln(avg(x0 * x0) * avg(x1 * x1) - avg(x0 * x1) * avg(x0 * x
 query("d02_gaussian_glrt_kernel", f"SELECT g, round(count(*) * ln(avg(a) * avg(c) - avg(b) * avg(b)) - sum(ld), 6) + 0.0 AS stat FROM {_DK} GROUP BY g")(lambda spark, d: detect(dated(spark, d), ["g"], det.gaussian_glrt).select("g", r6("stat")))
 
 
-def _statistic(f, p=4, complex_=True):
-    return lambda spark, d: detect(dated(spark, d, complex_, p), ["g"], f).select("g", r6("stat"))
+def _statistic(f):
+    return lambda spark, d: detect(spread(spark, d), ["g"], f, uneven=True).select("g", r6("stat"))
 
 
 query("d03_two_step_student")(_statistic(det.student_glrt))
@@ -75,7 +75,7 @@ query("d06_kronecker_glrt")(_statistic(lambda x: det.kronecker_glrt(x, 2, 2)))
 
 def _running(step):
     def run(spark, d):
-        rows = running(dated(spark, d, True, 4), ["g"], step)
+        rows = running(spread(spark, d), ["g"], step, uneven=True)
         return rows.select("g", F.posexplode("stats").alias("t", "stat")).select("g", "t", r6("stat"))
 
     return run
@@ -90,15 +90,16 @@ def _online_estimate(first, step):
     """The running estimate's trace-normalised first row after all dates."""
 
     def kernel(x):
-        state = first(x[:, 0])
-        for t in range(1, x.shape[1]):
-            state = step(x[:, t], state, t + 1)
+        dates = x if isinstance(x, list) else np.moveaxis(x, 1, 0)
+        state = first(dates[0])
+        for t in range(1, len(dates)):
+            state = step(dates[t], state, t + 1)
         s = state[0]
-        return {"v": (s / np.trace(s, axis1=-2, axis2=-1)[..., None, None]).real.reshape(len(x), -1)}
+        return {"v": (s / np.trace(s, axis1=-2, axis2=-1)[..., None, None]).real.reshape(len(s), -1)}
 
     from covaria.operators.groups import by_group
 
-    return lambda spark, d: by_group(dated(spark, d, True, 4), ["g"], kernel, "v array<double>").select("g", F.posexplode("v").alias("k", "v")).select("g", "k", r6("v"))
+    return lambda spark, d: by_group(spread(spark, d), ["g"], kernel, "v array<double>", uneven=True).select("g", F.posexplode("v").alias("k", "v")).select("g", "k", r6("v"))
 
 
 query("e06_online_natural_gradient")(_online_estimate(det.est.natural_gradient, lambda x, s, t: det.est.natural_gradient_step(x, s)))

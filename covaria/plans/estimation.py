@@ -11,7 +11,7 @@ from covaria.functions import manifolds as man
 from covaria.operators import moments as mom
 from covaria.operators.groups import by_group, estimate, flat
 from covaria.plans.matrices import _cells, _long
-from covaria.plans.registry import dated, observations, query, r6, samples, samples_sql
+from covaria.plans.registry import dated, observations, query, r6, samples, samples_sql, spread
 
 _X2 = samples_sql(2)
 
@@ -241,7 +241,19 @@ query("c25_two_array_tyler_complex")(lambda spark, d: cells(estimate(observation
 
 
 def _kron(f, out):
-    return lambda spark, d: by_group(dated(spark, d, True, 4), ["g"], f, out)
+    """All samples of a label at one date."""
+    return lambda spark, d: by_group(observations(spark, d, 4, True), ["g"], f, out)
+
+
+def _dates(f, out):
+    """All samples of a label over five dates, as a list of dates."""
+    return lambda spark, d: by_group(spread(spark, d), ["g"], lambda x: f(x if isinstance(x, list) else list(np.moveaxis(x, 1, 0))), out, uneven=True)
+
+
+def _each(dates):
+    """A and B of every date, then its textures, date by date."""
+    parts = [est.kronecker_mm(x, 2, 2) for x in dates]
+    return _both(np.stack([p[0] for p in parts], 1), np.stack([p[1] for p in parts], 1), np.concatenate([p[2] for p in parts], -1))
 
 
 def _both(a, b, tau):
@@ -249,11 +261,19 @@ def _both(a, b, tau):
     return {"a": a.real.reshape(n, -1), "b": b.real.reshape(n, -1), "tau": tau.reshape(n, -1)}
 
 
+def _online(dates):
+    """The estimate of the first date, carried on through all others."""
+    state = est.kronecker_mm(dates[0], 2, 2)
+    for t, x in enumerate(dates[1:], 2):
+        state = est.kronecker_online_step(x, state, t)
+    return _both(*state)
+
+
 _ABT = "a array<double>, b array<double>, tau array<double>"
 query("c17_kronecker_forms")(_kron(lambda x: {"v": est.kronecker_forms(est.as_matrices(x[:, 0], 2, 2), np.eye(2)[None].repeat(len(x), 0), np.eye(2)[None].repeat(len(x), 0))}, "v array<double>"))
 query("c18_kronecker_mm_step")(_kron(lambda x: dict(zip("ab", (m.real.reshape(len(x), -1) for m in est.kronecker_mm_step(est.as_matrices(x[:, 0], 2, 2), *[np.eye(2)[None].repeat(len(x), 0) + 0j] * 2)), strict=True)), "a array<double>, b array<double>"))
-query("c19_kronecker_mm_h1")(_kron(lambda x: _both(*est.kronecker_mm(x, 2, 2)), _ABT))
-query("c20_kronecker_mm_h0")(_kron(lambda x: _both(*est.kronecker_mm(x, 2, 2, shared=True)), _ABT))
+query("c19_kronecker_mm_h1")(_dates(_each, _ABT))
+query("c20_kronecker_mm_h0")(_dates(lambda x: _both(*est.kronecker_mm_shared(x, 2, 2)[:3]), _ABT))
 query("c21_kronecker_loss")(_kron(lambda x: {"v": est.kronecker_loss(x[:, 0], *est.kronecker_mm(x[:, 0], 2, 2))}, "v double"))
 query("c22_kronecker_gradient")(_kron(lambda x: _both(*est.kronecker_gradient(x[:, 0], *[np.eye(2)[None].repeat(len(x), 0) + 0j] * 2, np.ones(x[:, 0].shape[:-1]))), _ABT))
-query("c23_kronecker_armijo_step")(_kron(lambda x: _both(*est.kronecker_online_step(x[:, 1], est.kronecker_mm(x[:, 0], 2, 2), 2)), _ABT))
+query("c23_kronecker_armijo_step")(_dates(_online, _ABT))

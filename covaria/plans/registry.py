@@ -70,6 +70,16 @@ def dated(spark: SparkSession, sf_dir: str, complex_: bool = False, p: int = 2,
     return o.select("g", F.floor(F.col("k") / per).cast("int").alias("t"), (F.col("k") % per).cast("int").alias("n"), "re", "im")
 
 
+def spread(spark: SparkSession, sf_dir: str, complex_: bool = True, p: int = 4, dates: int = 5) -> DataFrame:
+    """obs(g, t, n, re, im): labels as pixels, all samples of each spread over the dates by order of vec_id; sizes differ by one at most."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("g")
+    o = observations(spark, sf_dir, p, complex_).drop("t").withColumn("k", F.row_number().over(by.orderBy("n")) - 1).withColumn("c", F.count("*").over(by))
+    o = o.withColumn("t", F.expr(f"cast(k * {dates} div c as int)"))
+    return o.select("g", "t", F.expr(f"cast(k - (t * c + {dates - 1}) div {dates} as int)").alias("n"), "re", "im")
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """g, t, x0, x1, x2: line items by supplier and year, features about standardised."""
     x = table(spark, sf_dir, "lineitem")

@@ -194,3 +194,30 @@ def test_compound_stream_replays_all_events(spark):
     assert len(want) > 100 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
     assert all(s[1].shape[-1] == max(len(x) for (k, _), x in days.items() if k == key) for key, s in state.items())
+
+
+def test_uneven_dates_equal_even_ones():
+    """A list of dates gives what the array gives; a date's missing sample leaves its texture as it was."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2, 5, 9, 4)) + 1j * r.normal(size=(2, 5, 9, 4))
+    dates = list(np.moveaxis(x, 1, 0))
+    for f in (det.student_glrt, det.tyler_glrt, det.compound_glrt, lambda y: det.kronecker_glrt(y, 2, 2)):
+        np.testing.assert_allclose(f(dates), f(x), rtol=1e-9)
+        assert np.isfinite(f([dates[0], *(d[:, :8] for d in dates[1:])])).all()
+    for step, k in ((det.compound_step, 1), (lambda s, y: det.kronecker_step(s, y, 2, 2), 2)):
+        before = step(None, dates[0])[1]
+        after = step(before, dates[1][:, :8])[1]
+        assert (after[k][:, 8] == before[k][:, 8]).all() and (after[k][:, :8] != before[k][:, :8]).any()
+
+
+def test_queries_without_sql_take_all_embeddings(spark):
+    sf = "/root/testdata/sf0.001"
+    labels = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect():
+        labels[r["label"]].append(np.array(r["embedding"][:4], float) + 1j * np.array(r["embedding"][32:36], float))
+    query = lambda name: {r["g"]: r for r in entries.queries()[name](spark, sf).collect()}
+    glrt, forms, factors = query("d04_two_step_tyler"), query("c17_kronecker_forms"), query("c19_kronecker_mm_h1")
+    for g, x in labels.items():
+        dates = [np.stack([v for k, v in enumerate(x) if k * 5 // len(x) == t])[None] for t in range(5)]
+        assert abs(glrt[g]["stat"] - det.tyler_glrt(dates)[0]) < 1e-5
+        assert len(forms[g]["v"]) == len(factors[g]["tau"]) == len(x)
