@@ -176,7 +176,15 @@ def _cov(x):
 
 
 query("j05_scm_many_samples")(lambda spark, d: _context(spark, [(7, n) for n in (7, 49, 343)], lambda x: {"mean_error": float(np.linalg.norm(x.mean(1) - 1)), "cov_error": float(np.linalg.norm(_cov(x) - np.eye(len(x))))}))
-query("j06_scm_few_samples")(lambda spark, d: _context(spark, [(p, 30) for p in (3, 10, 25)], lambda x: {"condition": float(np.linalg.cond(_cov(x)))}))
+
+
+def _errors(x):
+    s = _cov(x)
+    return {"mean_error": float(np.linalg.norm(x.mean(1) - 1)), "cov_error": float(np.linalg.norm(s - np.eye(len(x)))), "condition": float(np.linalg.cond(s))}
+
+
+# The reference's whole grid, from fewer features than samples to 1,000 of them, and its 50 trials.
+query("j06_scm_few_samples")(lambda spark, d: _context(spark, [(int(p), 30) for p in np.unique(np.logspace(0.5, 3, 30, dtype=int))], _errors, 50))
 query("j07_linear_shrinkage")(lambda spark, d: _context(spark, [(p, 30) for p in (3, 30, 60)], lambda x: {"condition": float(np.linalg.cond(est.shrink(_cov(x), 0.1)))}))
 
 

@@ -221,3 +221,12 @@ def test_queries_without_sql_take_all_embeddings(spark):
         dates = [np.stack([v for k, v in enumerate(x) if k * 5 // len(x) == t])[None] for t in range(5)]
         assert abs(glrt[g]["stat"] - det.tyler_glrt(dates)[0]) < 1e-5
         assert len(forms[g]["v"]) == len(factors[g]["tau"]) == len(x)
+
+
+def test_scm_with_more_features_than_samples(spark):
+    got = {r["d"]: r for r in entries.queries()["j06_scm_few_samples"](spark, "").collect()}
+    assert sorted(got) == np.unique(np.logspace(0.5, 3, 30, dtype=int)).tolist() and max(got) == 1000
+    x = [1 + np.random.default_rng(10 + 30 + k).standard_normal((10, 30)) for k in range(50)]
+    want = [np.linalg.norm(np.cov(v) - np.eye(10)) for v in x]
+    assert abs(got[10]["cov_error_mean"] - np.mean(want)) < 1e-9 and abs(got[10]["cov_error_std"] - np.std(want)) < 1e-9
+    assert got[1000]["mean_error_mean"] > got[10]["mean_error_mean"] and got[1000]["condition_mean"] > 1e10
