@@ -2,7 +2,8 @@
 
 Every function takes and returns DataFrames. Intermediate results that are used more than once are
 written as Parquet below the folder that the cluster names in ``spark.checkpoint.dir``, so that a lost
-executor costs a re-read, never the job.
+executor costs a re-read, never the job. Operators delete the tables that their result does not read;
+release() deletes what is left once results have been read.
 """
 
 from __future__ import annotations
@@ -26,27 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """This application's folder below the one all executors share; a local one only for a local master that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{found or 'file://' + LOCAL_DIR}/covaria"
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found or 'file://' + LOCAL_DIR}/covaria/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df written once to the shared folder, in folders by the values of column `by`, and read back: cuts the lineage durably."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(df: DataFrame, folder: str) -> None:
-    """Deletes one folder of stored tables, when no later step reads it."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for file in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if file.endswith("/" + folder):
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all stored tables of this application; results that have not been read yet are lost."""
+    _delete(spark, shared_dir(spark))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -54,12 +64,12 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _lean(run):
-    """run, after which a reused Python worker gives its free memory back to the system."""
+def _lean(run, rows: int):
+    """run over slices of at most `rows` rows, after which a reused Python worker gives its free memory back to the system."""
 
     def wrapped(batches):
         try:
-            yield from run(batches)
+            yield from run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
         finally:
             import ctypes
             import gc
@@ -75,11 +85,11 @@ def _lean(run):
 
 
 def arrow_map(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of at most `rows` rows, as texts can be long; for DataFrame.transform."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
-        df.sparkSession.conf.set(key, rows)
-    return df.mapInArrow(_lean(run), schema)
+    """df.mapInArrow(run, schema) in slices of at most `rows` rows, as texts can be long; for DataFrame.transform.
+
+    Spark bounds the bytes of a batch by itself (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    return df.mapInArrow(_lean(run, rows), schema)
 
 
 def whole(text: Column) -> Column:
@@ -102,35 +112,118 @@ def utf8_rows(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(SPACE.encode())] = False
+_CHUNK, _BASE = 1 << 20, 0x9E3779B97F4A7C15
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_CHUNK, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class WordHashes:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts, A-Z in lower case, by array operations over whole columns.
+
+    A word's hash is a polynomial in its bytes, each first replaced by a random 64-bit number; sums over
+    all bytes give every word's value as a difference, a bijection then scrambles it. A text of any
+    length is read in chunks, and a word across chunks is put together again from their sums.
+    """
+
+    def __init__(self):
+        self.codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words in order, and for each row how many it has; null has none."""
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        if not len(column) or offsets[-1] == offsets[0]:
+            return np.empty(0, np.uint64), np.zeros(len(column), np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        breaks = offsets - offsets[0]
+        out, begins, held, size, first = [], [], np.uint64(0), 0, 0
+        for a in range(0, len(data), _CHUNK):
+            x = _LOWER[data[a : a + _CHUNK]]
+            word = _IN_WORD[x]
+            edge = np.empty(len(x) + 1, bool)  # whether a word may not go on from the byte before
+            edge[1:-1] = ~word[:-1]
+            edge[0], edge[-1] = size == 0, True
+            cut = breaks[(breaks >= a) & (breaks < a + len(x))] - a
+            edge[cut] = True
+            if size and (edge[0] or not word[0]):  # the word held from the chunk before has ended there
+                out.append(self._scrambled(np.array([held]), np.array([size])))
+                begins.append(np.array([first]))
+                held, size = np.uint64(0), 0
+            starts = np.flatnonzero(word & edge[:-1])
+            if size:
+                starts = np.concatenate([[0], starts])
+            last = np.empty(len(x), bool)
+            last[:-1] = ~word[1:] | edge[1:-1]
+            last[-1] = True
+            ends = np.flatnonzero(word & last) + 1
+            sums = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(self.codes[x] * self.up[: len(x)], dtype=np.uint64, out=sums[1:])
+            h = (sums[ends] - sums[starts]) * self.down[starts]
+            n, at = ends - starts, starts + a
+            if size and len(h):
+                h[0] = (int(held) + int(h[0]) * pow(_BASE, size, 1 << 64)) & (1 << 64) - 1
+                n[0] += size
+                at[0] = first
+            if len(ends) and ends[-1] == len(x):  # may go on in the next chunk
+                held, size, first = h[-1], int(n[-1]), int(at[-1])
+                h, n, at = h[:-1], n[:-1], at[:-1]
+            else:
+                held, size = np.uint64(0), 0
+            out.append(self._scrambled(h, n))
+            begins.append(at)
+        if size:
+            out.append(self._scrambled(np.array([held]), np.array([size])))
+            begins.append(np.array([first]))
+        return np.concatenate(out), np.diff(np.searchsorted(np.concatenate(begins), breaks))
+
+    @staticmethod
+    def _scrambled(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return mix64(h + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def counter_table(rows: DataFrame, slots: int, chunk: int = 1 << 15) -> np.ndarray:
-    """Sum the partial counters in rows (chunk_no int, counters binary of zlib'ed uint16) to uint32[slots].
+    """Sum the partial counters in rows (chunk_no int, counters binary of zlib'ed uint32) to their 8-bit logarithms, uint8[slots].
 
-    Its size is fixed by `slots`, whatever the input, so it may be collected and broadcast. Partial
-    counters of a chunk meet in one task that adds them one after the other.
+    Partial counters of a chunk meet in one task that adds them one after the other.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(blob), np.uint16).astype(np.uint32)
+                part = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
                 total[k] = total[k] + part if k in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk_no", "counters"])
+        levels = [np.round(6 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["chunk_no", "counters"])
 
     parts = max(1, min(slots // chunk, 64))
     summed = rows.repartition(parts, "chunk_no").transform(arrow_map, add, "chunk_no int, counters binary")
-    out = np.zeros(slots, np.uint32)
+    out = np.zeros(slots, np.uint8)
     for k, blob in summed.collect():
-        out[k * chunk : (k + 1) * chunk] += np.frombuffer(blob, np.uint32)
+        out[k * chunk : (k + 1) * chunk] = np.frombuffer(blob, np.uint8)
     return out
 
 
 def counter_rows(counts: np.ndarray, chunk: int = 1 << 15) -> Iterator[tuple[int, bytes]]:
-    """The non-empty chunks of a task's counters, as counter_table takes them (a task's count saturates at 65535)."""
+    """The non-empty chunks of a task's counters, as counter_table takes them."""
     for k in range(0, len(counts), chunk):
         part = counts[k : k + chunk]
         if part.any():
-            yield k // chunk, zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)
+            yield k // chunk, zlib.compress(part.astype(np.uint32).tobytes(), 1)
+
+
+def power_of_two(n: float, least: int, most: int) -> int:
+    """The smallest power of two that is n or more, within bounds that are powers of two."""
+    return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -149,7 +242,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = stored(large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        then = stored(large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        removed(now)
+        now = then
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == seen:
             break

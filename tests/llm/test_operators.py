@@ -9,6 +9,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,38 @@ def test_ngram_join_finds_all_links(spark, seed):
             break
 
 
+def passages(n, seed=9, kinds=20, size=30, own=6):
+    """n documents of one of `kinds` openings, their own words, and one of as many endings: many share passages, few link."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    a, b = ([[word() for _ in range(size)] for _ in range(kinds)] for _ in range(2))
+    return [(k, " ".join([*r.choice(a), *(word() for _ in range(own)), *r.choice(b)])) for k in range(n)]
+
+
+def probed(spark, docs):
+    docs = frame(spark, [(i, t, None) for i, t in docs])
+    counts = np.zeros(1 << 16, np.uint8)
+    for i, t in ((r["doc_id"], r["text"]) for r in docs.collect()):
+        for s in ngram_join.Sets()(pa.array([t])):
+            counts[(s & np.uint64(0xFFFF)).astype(np.int64)] += 1
+    entries = ngram_join._entries(docs, 5, counts, np.full(1 << 16, 255, np.uint8)).select(F.lit(0).cast("long").alias("g"), "h", F.col("doc_id").alias("id"), "n", "pos")
+    return sum(ngram_join.search(docs, common.stored(entries, "test"), 5, counts)[1])
+
+
+def test_shared_passages_do_not_pair_out(spark):
+    """Four times the documents of the same passages: at most about four times the pairs that are probed."""
+    few, many = probed(spark, passages(400)), probed(spark, passages(1600))
+    assert many <= 6 * max(few, 400)
+
+
+@pytest.mark.parametrize("short", [2, 32])
+def test_ngram_join_on_shared_passages(spark, short):
+    docs = passages(240, kinds=4, own=3) + passages(120, seed=10, kinds=3, own=9)
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    got = ngram_join.ngram_components(frame(spark, [(i, t, None) for i, t in docs]).repartition(3), short=short).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
+
+
 def test_linked_is_the_exact_threshold():
     for n in range(1, 60):
         a = np.arange(n, dtype=np.uint64)
@@ -133,6 +166,22 @@ def test_linked_is_the_exact_threshold():
             assert ngram_join.linked(a, b) == (100 * k >= 80 * (2 * n - k))
 
 
+def test_word_hashes_do_not_depend_on_chunks(spark, monkeypatch):
+    r = random.Random(1)
+    texts = [None if r.random() < 0.1 else "".join(r.choice("abC \n\té\x0b\x1c") for _ in range(r.choice((0, 1, 5, 30, 90)))) for _ in range(300)]
+    words = [(t or "").encode().lower().split() for t in texts]
+    of, counts = {}, None
+    for chunk in (7, 64, 1 << 20):
+        monkeypatch.setattr(common, "_CHUNK", chunk)
+        h, n = common.WordHashes()(pa.array(["x", *texts, "y"]).slice(1, len(texts)))
+        assert n.tolist() == list(map(len, words))
+        assert counts is None or (h == counts).all()
+        counts = h
+    for w, x in zip((w for ws in words for w in ws), counts.tolist(), strict=True):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of)
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 160)] + [(159, 7)]
     got = {r["id"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
