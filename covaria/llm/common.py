@@ -34,12 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found or 'file://' + LOCAL_DIR}/covaria/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage durably."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once to the shared folder, in folders by the values of column `by`, and read back: cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -47,11 +48,12 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def removed(*tables: DataFrame) -> None:
-    """Deletes stored tables that no later step reads."""
+def removed(*tables: DataFrame, folder: str = "") -> None:
+    """Deletes stored tables that no later step reads, or one folder of them."""
     for df in tables:
-        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            _delete(df.sparkSession, folder)
+        for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if path.endswith(folder):
+                _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -96,6 +98,11 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def multiple(k: int, odd: int | np.uint64) -> np.uint64:
+    """k * odd modulo 2^64."""
+    return np.uint64(k * int(odd) & (1 << 64) - 1)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -440,12 +440,50 @@ def test_lm_probabilities_sum_to_about_one(spark):
     assert 0.6 < sum(p.values()) < 1.01
 
 
-def test_seatings_stay_valid():
-    rng = np.random.default_rng(0)
-    c = rng.integers(1, 400, 500)
-    at = rng.integers(0, 20, 500)
-    t, mean = pitman_yor.seat(c, at, 20, np.ones(20), np.full(500, 1e-2), 0.7, rng)
-    assert (t >= 1).all() and (t <= c).all() and (t[c == 1] == 1).all() and (mean <= c).all()
+def test_stirling_ratios():
+    """S(c, t) as sums over partitions of c customers into t tables, each weighed by rising products."""
+    d = 0.6
+    s = {(1, 1): 1.0}
+    for c in range(2, 300):
+        for t in range(1, c + 1):
+            s[c, t] = s.get((c - 1, t - 1), 0.0) + (c - 1 - d * t) * s.get((c - 1, t), 0.0) if c < 60 else 0.0
+    found = pitman_yor.Stirling(d)
+    for c in (2, 3, 7, 40, 59):
+        at, scale = found.place(np.array([c]))
+        for t in range(1, c):
+            assert math.isclose(found.ratio(at, scale, t)[0], s[c, t + 1] / s[c, t], rel_tol=1e-9)
+    small, large = pitman_yor.Stirling(d, 256), pitman_yor.Stirling(d, 1024)
+    for t in (1, 3, 9, 20):  # the scaling law against the table
+        a, b = (x.ratio(*x.place(np.array([1000])), t)[0] for x in (small, large))
+        assert math.isclose(a, b, rel_tol=0.05)
+
+
+def test_seatings_follow_the_exact_posterior():
+    """One restaurant whose every seating can be weighed: mean tables and mean share of the parent."""
+    c, p0, d, theta = [6, 3, 2, 1], [0.3, 0.1, 0.05, 0.2], 0.5, 2.0
+    s = {(1, 1): 1.0}
+    for n in range(2, 7):
+        for t in range(1, n + 1):
+            s[n, t] = s.get((n - 1, t - 1), 0.0) + (n - 1 - d * t) * s.get((n - 1, t), 0.0)
+    total, mean = 0.0, np.zeros(4)
+    for ts in np.ndindex(*c):
+        ts = [t + 1 for t in ts]
+        weight = math.prod(s[n, t] * p**t for n, t, p in zip(c, ts, p0, strict=True)) * math.prod(theta + d * k for k in range(sum(ts)))
+        total += weight
+        mean += weight * np.array(ts)
+    copies = 4000
+    rooms = np.repeat(np.arange(copies), 4)
+    kept = pitman_yor.seat(np.tile(c, copies), rooms, copies, np.tile(p0, copies), d, common.mix64(np.arange(4 * copies, dtype=np.uint64)), theta=theta, sweeps=12, burn_in=6)
+    got = np.mean([t.reshape(copies, 4).mean(0) for t in kept], axis=0)
+    assert np.allclose(got, mean / total, atol=0.02)
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "text")
+    one, many = (sorted(pitman_yor.lm_scores(docs.repartition(k), block_tokens=n, part_tokens=1 << 14).collect()) for k, n in ((1, 1 << 21), (7, 5000)))
+    assert len(one) == 200
+    for a, b in zip(one, many, strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
 
 
 def test_token_counts_match_the_library(spark):
