@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm.common import arrow_map, table, utf8_rows
+from covaria.llm.common import arrow_map, stored, table, utf8_rows
+
+#: Bytes of hosts and paths that are broadcast to the pages; above, and over how many keys a host is dealt then.
+BROADCAST, SALTS = 32 << 20, 64
 
 #: Elements by what they do to the text around them.
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "iframe")}  # without an end tag, up to the page's end
@@ -36,8 +39,10 @@ _ONE_OF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion "
     "disqus footer footnav gdpr hidden login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted "
-    "recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+    "recommended related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: "search" marks a form or box, not what is about a search.
+_SEARCH = re.compile(r"search(?:[-_ ]?(?:box|bar|form|field|input|button|panel|widget|wrap|wrapper|container|block|area|toggle|results?))?(?=\s|$)", re.I)
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
@@ -128,10 +133,12 @@ class Page:
                     names += " " + value
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     hidden = True
-        inside = tag == "header" and "article" in self.path[above]
+        names_above = self.path[above]
+        inside = tag == "header" and (">article" in names_above or ">main" in names_above)
         sure = self.sure[above] or hidden or tag in _DROPPED or (tag == "header" and not inside)
         words = {w.lower() for w in _PART.findall(names)} if names else ()
-        marked = tag not in ("html", "body", "main", "article") and bool(words and (_MARKS & words or "header" in words and not inside))
+        marked = tag not in ("html", "body", "main", "article") and bool(words and (_MARKS & words or "header" in words and not inside or _SEARCH.search(names)))
+        marked |= inside and ">article" not in names_above  # a header of main stays if it holds the title
         self.parent.append(above)
         self.tag.append(tag)
         self.sure.append(sure)
@@ -202,7 +209,7 @@ class Page:
             up = self.parent[k]
             held[up] += held[k]
             title[up] |= title[k] or self.tag[k] == "h1"
-            self.marked[k] = self.marked[k] and not (title[k] and held[k] > 0.6 * total)
+            self.marked[k] = self.marked[k] and not (title[k] and (held[k] > 0.6 * total or self.tag[k] == "header"))
         for k, tag in enumerate(self.tag):
             if tag in ("article", "main"):
                 k = self.parent[k]
@@ -271,19 +278,32 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): most votes, then most text, then the first path. Votes are combined before the shuffle."""
+    """(host, path): most votes, then most text, then the path that sorts first. Votes are combined before the shuffle."""
     counted = votes(pages).where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("share"), 6).alias("share"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("n", "share", "path")).alias("path"))
+    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("share"), "path")).alias("path"))
+
+
+def _with_paths(rows: DataFrame, paths: DataFrame, most: int = BROADCAST, salts: int = SALTS) -> DataFrame:
+    """rows with their hosts' paths. Pages stay where they are while all paths take at most `most` bytes; beyond,
+    each host is dealt over `salts` keys, so that one host's pages never meet in one task."""
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32).cast("long"), F.lit(0))).first()[0]
+    if size <= most:
+        found = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
+        found = dealt.join(paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "salt"], "left")
+    return found.select("page_id", "url", "html", "path")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null html is empty and gives the empty text; a null url counts as host ''. Repeated rows give repeated
-    results; other columns are ignored; an empty table gives an empty result.
+    results; other columns are ignored; an empty table gives an empty result. Pages of any length are
+    read whole. Ties between paths go to the one that sorts first.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    found = rows.withColumn("host", _host(F.col("url"))).join(winning_paths(rows), "host", "left").select("page_id", "url", "html", "path")
+    found = _with_paths(rows.withColumn("host", _host(F.col("url"))), stored(winning_paths(rows), "paths"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
