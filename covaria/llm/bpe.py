@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections import defaultdict
@@ -27,6 +28,9 @@ from covaria.llm.common import arrow_map, table, utf8_rows
 
 _INF = 1 << 60
 WINDOW = 256
+#: Bytes of text that are held as tokens at once.
+CHUNK = 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def byte_symbols() -> list[str]:
@@ -171,8 +175,6 @@ class Tokens:
         data = word.encode()
         symbols = [self.base[b] for b in data]
         symbols[-1] = self.last[data[-1]]
-        if len(symbols) <= self.window:
-            return array("I", self.merges.apply(symbols)).tobytes()
         stream = Encoder(self.merges, self.lengths, self.window)
         return array("I", [*stream.feed(symbols), *stream.end()]).tobytes()
 
@@ -216,8 +218,7 @@ class Decoder:
 
     def __init__(self, tokens: Tokens):
         self.bytes, self.joint = tokens.bytes, b"" if tokens.byte_decoder else b" "
-        #: whole token strings are whole characters; bytes are not
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace") if tokens.byte_decoder else None
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
         self.begun = False
 
     def feed(self, ids: Iterable[int]) -> str:
@@ -225,10 +226,10 @@ class Decoder:
         if self.begun and parts:
             parts = self.joint + parts
         self.begun = self.begun or bool(parts)
-        return self.machine.decode(parts) if self.machine else parts.decode()
+        return self.machine.decode(parts)
 
     def end(self) -> str:
-        return self.machine.decode(b"", True) if self.machine else ""
+        return self.machine.decode(b"", True)
 
 
 class Pieces:
@@ -266,10 +267,28 @@ class Pieces:
         ids, machine = self.tokens.encode(text), self.tokens.decoder()
         self.ids[piece], self.text[piece] = ids, (machine.feed(array("I", ids)) + machine.end()).encode()
 
-    def __call__(self, text: bytes) -> tuple[bytes, bytes]:
+    def stream(self, text: bytes, chunk: int = CHUNK) -> Iterator[tuple[bytes, bytes]]:
+        """ids and decoded bytes, part by part. Where white space bounds every token, a part ends at the first white space
+        after `chunk` bytes; a text of another tokenizer is one part of ids, decoded in runs of as many ids."""
         if not self.tokens.words:
             ids, machine = self.tokens.encode(text.decode()), self.tokens.decoder()
-            return ids, (machine.feed(array("I", ids)) + machine.end()).encode()
+            for at in range(0, len(ids), 4 * chunk):
+                part = ids[at : at + 4 * chunk]
+                yield part, machine.feed(array("I", part)).encode()
+            yield b"", machine.end().encode()
+            return
+        at, begun = 0, False
+        while at < len(text):
+            end = len(text)
+            if at + chunk < end:
+                found = _SPACE.search(text, at + chunk)
+                end = found.start() if found else end
+            ids, decoded = self._part(text[at:end])
+            at = end
+            yield ids, (b" " + decoded if begun and decoded else decoded)
+            begun = begun or bool(decoded)
+
+    def _part(self, text: bytes) -> tuple[bytes, bytes]:
         pieces = text.split()
         try:
             found = list(map(self.ids.__getitem__, pieces))
@@ -283,12 +302,17 @@ class Pieces:
             found = list(map(self.ids.__getitem__, pieces))
         return b"".join(found), b" ".join(filter(None, map(self.text.__getitem__, pieces)))
 
+    def __call__(self, text: bytes) -> tuple[bytes, bytes]:
+        parts = list(self.stream(text))
+        return b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
+
 
 def bpe_round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; with texts, also ids and decoded.
 
     Null text counts as empty: no tokens, the hashes of nothing. Repeated rows give repeated results,
-    a null doc_id stays null, other columns are ignored; an empty table gives an empty result.
+    a null doc_id stays null, other columns are ignored; an empty table gives an empty result. A text of
+    any length is encoded, decoded and hashed part by part.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * texts
 
@@ -297,9 +321,15 @@ def bpe_round_trip(docs: DataFrame, path: str, texts: bool = False) -> DataFrame
         for batch in batches:
             rows = []
             for t in utf8_rows(batch.column(1)):
-                ids, decoded = pieces(t)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                rows.append((*row, list(array("I", ids)), decoded.decode()) if texts else row)
+                n, a, b, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                for ids, decoded in pieces.stream(t):
+                    n += len(ids) // 4
+                    a.update(ids)
+                    b.update(decoded)
+                    if texts:
+                        kept.append((ids, decoded))
+                row = (n, a.hexdigest(), b.hexdigest())
+                rows.append((*row, list(array("I", b"".join(x for x, _ in kept))), b"".join(x for _, x in kept).decode()) if texts else row)
             if not rows:
                 continue
             n, a, b, *more = zip(*rows, strict=True)
