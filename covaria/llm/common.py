@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as the word definition [^\x20\x09-\x0D]+ has it.
 SPACE = " \t\n\x0b\x0c\r"
@@ -86,7 +87,7 @@ def _lean(run, rows: int):
     return wrapped
 
 
-def arrow_map(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
+def arrow_map(df: DataFrame, run, schema: str | StructType, rows: int = 1000) -> DataFrame:
     """df.mapInArrow(run, schema) in slices of at most `rows` rows, as texts can be long; for DataFrame.transform.
 
     Spark bounds the bytes of a batch by itself (spark.sql.execution.arrow.maxBytesPerBatch).

@@ -412,21 +412,50 @@ def phrases(reference, text):
     return n
 
 
-def test_cross_parsing_equals_substring_search(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+@pytest.mark.parametrize("dense", [language_id.DENSE, 0])
+def test_cross_parsing_equals_substring_search(spark, monkeypatch, dense):
+    """Whole texts, whatever the blocks; tables and sorted transitions alike."""
+    monkeypatch.setattr(language_id.Automaton.__init__, "__defaults__", (dense,))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     texts = defaultdict(str)
     for r in rows[:100]:
         texts[r["lang"]] += r["text"][:1500]
     model = language_id.Model({k: v[:4000] for k, v in texts.items()})
-    size = min(len(model.read([t[:4000]])[0]) for t in texts.values())
-    refs = [bytes(model.read([texts[lang][:4000]])[0].astype(np.uint8)[:size]) for lang in model.langs]
-    some = [r["text"][:5000] for r in rows[100:130]] + ["", "  \n", "?!", "日本語", "a"]
-    langs, scores = model.predict(some)
-    for t, lang, s in zip(some, langs, scores, strict=True):
+    refs = [bytes(model.read([texts[lang][:4000]])[0].astype(np.uint8)) for lang in model.langs]
+    some = [r["text"][:3000] for r in rows[100:120]] + ["", "  \n", "?!", "日本語", "a", "ab" * 600, texts[model.langs[0]][:3900]]
+    counts = []
+    for t in some:
         x = bytes(model.read([t])[0].astype(np.uint8))
-        counts = [sum(phrases(ref, x[k : k + language_id.BLOCK]) for k in range(0, len(x), language_id.BLOCK)) for ref in refs]
-        assert lang == (model.langs[int(np.argmin(counts))] if any(c.isalpha() for c in t) else "und")
-        assert 0 <= s <= 1
+        counts.append([math.ceil(phrases(ref, x) * w - 1e-9) for ref, w in zip(refs, model.weights, strict=True)])
+    for block in (7, 100, 1024):
+        langs, scores = model.predict(some, block)
+        for t, c, lang, s in zip(some, counts, langs, scores, strict=True):
+            two = sorted(c)
+            assert lang == (model.langs[int(np.argmin(c))] if any(map(str.isalpha, t)) else "und")
+            assert s == (two[1] / (two[0] + two[1]) if lang != "und" else 0.0)
+
+
+def test_a_large_alphabet_takes_little_memory():
+    r = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    text = "".join(r.choice(letters) for _ in range(20_000))
+    model = language_id.Model({"zh": text, "en": "the cat sat on the mat " * 300})
+    assert sum(x.nbytes for a in model.automata for x in (a.steps, a.keys, getattr(a, "next", None)) if x is not None) < 64 << 20
+    assert model.predict([text[500:800], "a cat on a mat"])[0] == ["zh", "en"]
+
+
+def test_references_are_whole_texts(spark):
+    rows = [(k, "wort " * 40, "de") for k in range(9)] + [(20, "x" * 900, "long"), (21, "y" * 800, "long"), (22, None, "none"), (23, "text", None), (24, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.reference_texts(docs, chars=700)
+    assert got == {"de": "\n".join(["wort " * 40] * 3), "long": "y" * 800}
+    assert language_id.reference_texts(docs.limit(0)) == {}
+
+
+def test_identify_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "the cat", 7)], "id long, text string, `a b`  int").withColumn("score", F.lit("x"))
+    got = language_id.identify(docs, {"en": "the cat"}).first()
+    assert got["a b"] == 7 and got["lang_pred"] == "en" and got["score"] == 1.0
 
 
 def test_rare_languages_leave_the_others_alone(spark):
