@@ -55,6 +55,15 @@ def _expand(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _sorted_bytes(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, first all first bytes, then all second ones, compressed."""
+    return _squeeze(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _sorted_numbers(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_expand(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _short(p: np.ndarray) -> np.ndarray:
     """Probabilities as 16-bit logarithms in steps of 1/1024 of an octave (0.07 %); 0 is 0."""
     with np.errstate(divide="ignore"):
@@ -90,7 +99,7 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             train = int(n[~out].sum())
             columns = [
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_squeeze(out.astype(np.uint8))], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
-                pa.array([_squeeze(tokens.astype(np.uint32), 6)], pa.binary()), pa.array([vocab.tobytes()], pa.binary()), pa.array([train], pa.int64()), pa.array([int(n.sum())], pa.int64()),
+                pa.array([_squeeze(tokens.astype(np.uint32), 6)], pa.binary()), pa.array([_sorted_bytes(vocab)], pa.binary()), pa.array([train], pa.int64()), pa.array([int(n.sum())], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "held", "sizes", "tokens", "vocab", "n_train", "n_tokens"])
 
@@ -132,7 +141,7 @@ class Words:
     """A block's vocabulary, training counts, and which part each word belongs to."""
 
     def __init__(self, row: dict, parts: int):
-        self.vocab = np.frombuffer(row["vocab"], np.uint64)
+        self.vocab = _sorted_numbers(row["vocab"])
         self.tokens = _expand(row["tokens"], np.uint32).view(np.int32)
         self.sizes = _expand(row["sizes"], np.int64)
         self.held = _expand(row["held"], np.uint8).astype(bool)
@@ -288,7 +297,7 @@ def _words(blocks: DataFrame, parts: int) -> DataFrame:
         count = b.count().astype(np.uint32)
         for part in np.flatnonzero(np.diff(b.edges)).tolist():
             i, j = b.edges[part], b.edges[part + 1]
-            yield part, row["block"], b.vocab[i:j].tobytes(), _squeeze(count[i:j])
+            yield part, row["block"], _sorted_bytes(b.vocab[i:j]), _squeeze(count[i:j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +308,7 @@ def _words(blocks: DataFrame, parts: int) -> DataFrame:
 
 def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """The words of a part's questions, each question's places among them, the corpus' counts, and the questions' sizes."""
-    hashes = [np.frombuffer(r["a"], np.uint64) for r in rows]
+    hashes = [_sorted_numbers(r["a"]) for r in rows]
     words, of = np.unique(np.concatenate(hashes), return_inverse=True)
     c = np.bincount(of, np.concatenate([_expand(r["b"], np.uint32) for r in rows]), len(words)).astype(np.int64)
     return words, of, c, list(map(len, hashes))
@@ -324,7 +333,7 @@ def _ask(blocks: DataFrame, parts: int, divided: Divided, asked: range) -> DataF
                 at, u, runs = b.runs(part)
                 words, w = np.unique(b.w[at], return_inverse=True)
                 kind = np.uint16 if len(words) < 1 << 16 else np.uint32
-                yield part, row["block"], b.context_hash[u].tobytes(), _squeeze(runs.astype(np.uint32)), b.vocab[words].tobytes(), _squeeze(w.astype(kind)), _squeeze(n[at])
+                yield part, row["block"], _sorted_bytes(b.context_hash[u]), _squeeze(runs.astype(np.uint32)), _sorted_bytes(b.vocab[words]), _squeeze(w.astype(kind)), _squeeze(n[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,8 +348,8 @@ def _seat_part(asked: pa.Table, parts: int, frequent: tuple[np.ndarray, np.ndarr
     part = rows[0]["part"]
     us, runs, ws = [], [], []
     for r in rows:
-        words = np.frombuffer(r["words"], np.uint64)
-        us.append(np.frombuffer(r["u"], np.uint64))
+        words = _sorted_numbers(r["words"])
+        us.append(_sorted_numbers(r["u"]))
         runs.append(_expand(r["runs"], np.uint32))
         ws.append(words[_expand(r["w"], np.uint16 if len(words) < 1 << 16 else np.uint32)])
     w = np.concatenate(ws)
@@ -373,7 +382,7 @@ def _seat_part(asked: pa.Table, parts: int, frequent: tuple[np.ndarray, np.ndarr
     by_word = np.stack([np.bincount(place, t, len(some)).astype(np.uint32) for t in kept])
     edges = _edges(some, parts)
     for k in np.flatnonzero(np.diff(edges)).tolist():
-        out.append((1, -1, k, some[edges[k] : edges[k + 1]].tobytes(), _squeeze(by_word[:, edges[k] : edges[k + 1]])))
+        out.append((1, -1, k, _sorted_bytes(some[edges[k] : edges[k + 1]]), _squeeze(by_word[:, edges[k] : edges[k + 1]])))
     out.append((2, -1, part, by_word.sum(1, dtype=np.int64).tobytes(), b""))
     return _table(_SEATED, out)
 
@@ -390,7 +399,7 @@ def _parent_part(told: pa.Table, parts: int, n_words: int, customers: np.ndarray
     seated = np.zeros((kept, len(words)), np.int64)
     for r in rows:
         if r["block"] < 0:
-            seated[:, np.searchsorted(words, np.frombuffer(r["a"], np.uint64))] += _expand(r["b"], np.uint32).reshape(kept, -1)
+            seated[:, np.searchsorted(words, _sorted_numbers(r["a"]))] += _expand(r["b"], np.uint32).reshape(kept, -1)
     x, sums, seen = np.zeros(len(words)), [], np.flatnonzero(seated[0])
     for k, own in enumerate(seated[:, seen]):
         d = discount(own)
