@@ -182,7 +182,8 @@ class Sonar:
     def rao(self, x, cov):
         inverse = np.linalg.inv(cov)
         a1, a2, a12 = self._powers(x, inverse)
-        s1, s2 = np.sqrt(np.abs(a1 + np.sqrt(a1 / a2) * a12)), np.sqrt(np.abs(a2 + np.sqrt(a2 / a1) * a12))
+        s1 = np.sqrt(np.abs(a1 + np.sqrt(a1 / (a2 + est.FLOOR)) * a12)) + 1e-60
+        s2 = np.sqrt(np.abs(a2 + np.sqrt(a2 / (a1 + est.FLOOR)) * a12)) + 1e-60
         scaled = np.concatenate([x[..., : self.m] / s1[..., None], x[..., self.m :] / s2[..., None]], -1)
         return 2 * self.matched(scaled, cov)
 

@@ -63,6 +63,7 @@ def fixed_point(x: np.ndarray, weight=tyler_weight, tol: float = 1e-4, iter_max:
 
 
 def tyler(x, normalization="trace", tol=1e-4, iter_max=50, **more):
+    """Tyler's estimate. It weighs by 1 / q: a sample that is all zero has no weight and makes its group's result NaN; leave such samples out."""
     return fixed_point(x, tyler_weight, tol, iter_max, normalization, **more)
 
 
@@ -101,6 +102,10 @@ def padded(dates: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(fill, -3), sum((np.arange(n) < x.shape[-2]).astype(int) for x in dates)
 
 
+#: Fixed value: what is added to powers that are divided by.
+FLOOR = 1e-30
+
+
 def two_array_tyler(x: np.ndarray, m: int, tol: float = 1e-6, iter_max: int = 500, history: list | None = None) -> np.ndarray:
     """Tyler's estimate for two arrays of m sensors, each with a texture of its own; trace 2m."""
     k = x.shape[-2]
@@ -108,7 +113,7 @@ def two_array_tyler(x: np.ndarray, m: int, tol: float = 1e-6, iter_max: int = 50
     live = np.ones(s.shape[:-2], bool)
     for _ in range(iter_max):
         inverse = np.linalg.inv(s)
-        t1, t2 = textures(x, inverse, m)
+        t1, t2 = (t + FLOOR for t in textures(x, inverse, m))
         scaled = np.concatenate([x[..., :m] / np.sqrt(t1)[..., None], x[..., m:] / np.sqrt(t2)[..., None]], -1)
         new = normalise(np.swapaxes(np.conj(scaled), -1, -2) @ scaled / k, "trace")
         moved = np.linalg.norm(new - s, axis=(-2, -1)) / np.linalg.norm(s, axis=(-2, -1))
@@ -124,12 +129,12 @@ def two_array_tyler(x: np.ndarray, m: int, tol: float = 1e-6, iter_max: int = 50
 
 
 def textures(x: np.ndarray, inverse: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two arrays' powers of each sample under an inverse covariance (..., 2m, 2m)."""
+    """The two arrays' powers of each sample under an inverse covariance (..., 2m, 2m); a silent array is floored, so that all stay finite."""
     a, b = x[..., :m], x[..., m:]
     t1 = quadratic(a, inverse[..., :m, :m]) / m
     t2 = quadratic(b, inverse[..., m:, m:]) / m
     t12 = np.einsum("...ni,...ij,...nj->...n", np.conj(a), inverse[..., :m, m:], b, optimize=True).real / m
-    return np.abs(t1 + np.sqrt(t1 / t2) * t12), np.abs(t2 + np.sqrt(t2 / t1) * t12)
+    return np.abs(t1 + np.sqrt(t1 / (t2 + FLOOR)) * t12), np.abs(t2 + np.sqrt(t2 / (t1 + FLOOR)) * t12)
 
 
 # Natural gradient of the scaled Gaussian: a shape of determinant one and one texture a sample.

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from covaria.functions.detectors import Sonar
+from covaria.functions.estimators import FLOOR
 from covaria.functions.linalg import ct
 
 
@@ -33,8 +34,13 @@ def form(re: Column, im: Column | None, a: np.ndarray, rows: slice, cols: slice)
     return _sum(terms)
 
 
+def _scales(a1: Column, a2: Column, a12: Column) -> tuple[Column, Column]:
+    """Scales of the two arrays; a silent array is floored, so that both stay finite."""
+    return F.sqrt(F.abs(a1 + F.sqrt(a1 / (a2 + FLOOR)) * a12)), F.sqrt(F.abs(a2 + F.sqrt(a2 / (a1 + FLOOR)) * a12))
+
+
 def statistics(re: Column, im: Column | None, sonar: Sonar, cov: np.ndarray) -> dict[str, Column]:
-    """The six statistics of Sonar.all under a known covariance."""
+    """The six statistics of Sonar.all under a known covariance, and the two arrays' scales s1 and s2 without a target."""
     m, p = sonar.m, sonar.steering
     one, two, all_ = slice(0, m), slice(m, 2 * m), slice(0, 2 * m)
     inverse = np.linalg.inv(cov)
@@ -55,14 +61,17 @@ def statistics(re: Column, im: Column | None, sonar: Sonar, cov: np.ndarray) ->
     left = inverse @ p
     core = left @ np.linalg.inv(ct(p) @ left) @ ct(left)
     a1, a2, a12 = powers(inverse)
-    s1, s2 = F.sqrt(F.abs(a1 + F.sqrt(a1 / a2) * a12)), F.sqrt(F.abs(a2 + F.sqrt(a2 / a1) * a12))
+    s1, s2 = _scales(a1, a2, a12)
+    u1, u2 = s1 + 1e-60, s2 + 1e-60
     cross = form(re, im, core[one, two], one, two)
     nmf = single(0, one), single(1, two)
     return {
         "glrt": product(inverse) / (product(sonar.residual_inverse(inverse)) + 1e-60),
-        "rao": 2 * (form(re, im, core[one, one], one, one) / (s1 * s1) + form(re, im, core[two, two], two, two) / (s2 * s2) + 2 * cross / (s1 * s2)),
+        "rao": 2 * (form(re, im, core[one, one], one, one) / (u1 * u1) + form(re, im, core[two, two], two, two) / (u2 * u2) + 2 * cross / (u1 * u2)),
         "independent": -m * (F.log(1 - F.abs(nmf[0]) + 1e-15) + F.log(1 - F.abs(nmf[1]) + 1e-15)),
         "array1": nmf[0],
         "array2": nmf[1],
         "matched": form(re, im, core, all_, all_),
+        "s1": s1,
+        "s2": s2,
     }

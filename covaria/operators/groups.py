@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 OBS = ("t", "n", "re", "im")
+#: Bytes of samples that a task holds of one group.
+MOST = 1 << 30
 
 
 def _samples(table: pa.Table) -> np.ndarray:
@@ -55,13 +57,14 @@ def _run(table: pa.Table, keys: list[str], kernel: Callable, names: list[str], s
     return pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
 
-def by_group(obs: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dict[str, np.ndarray]], out: str, uneven: bool = False) -> DataFrame:
+def by_group(obs: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dict[str, np.ndarray]], out: str, uneven: bool = False, most: int = MOST) -> DataFrame:
     """One row a group of obs(keys, t, n, re[, im]): the keys and the columns `out` that the kernel returns.
 
     The kernel gets (groups, dates, samples, features) and returns an array a column, first axis groups. A
     group whose dates have unequal numbers of samples has null results, or, if uneven, is given to the kernel
     as a list of its dates, each (groups, samples, features). Rows with a null re are left out; a
-    null key is a group of its own; a null im means real data. An empty table gives an empty result.
+    null key is a group of its own; a null im means real data. An empty table gives an empty result. A group
+    of more than `most` bytes is an error, not a lost executor: it belongs to `moments`.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -73,16 +76,27 @@ def by_group(obs: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dic
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.Table] = []  # the group that is being read
+
+        def done(more: list[pa.Table]) -> pa.RecordBatch:
+            return _run(pa.concat_tables([*held, *more]), keys, kernel, names, arrow, uneven)
+
         for batch in batches:
-            table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            if held and len(_edges(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table.slice(0, 1)]), keys)) > 2:
+                yield done([])
+                held = []
             edges = _edges(table, keys)
             if len(edges) > 2:
-                yield _run(table.slice(0, int(edges[-2])), keys, kernel, names, arrow, uneven)
-                table = table.slice(int(edges[-2]))
-            held = [table]
-        if held and held[0].num_rows:
-            yield _run(pa.concat_tables(held), keys, kernel, names, arrow, uneven)
+                yield done([table.slice(0, int(edges[-2]))])
+                held, table = [], table.slice(int(edges[-2]))
+            held.append(table)
+            if sum(t.nbytes for t in held) > most:
+                raise ValueError(f"a group holds more than {most} bytes: use moments for it, or raise `most`")
+        if held:
+            yield done([])
 
     return rows.mapInArrow(run, schema)
 

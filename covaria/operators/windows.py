@@ -70,4 +70,4 @@ def palindrome(pixels: DataFrame, frames: int, repeat: int) -> DataFrame:
     """pixels over repeat * frames dates: an index of dates joined to the frames."""
     spark = pixels.sparkSession
     index = spark.range(repeat * frames).select(F.col("id").cast("int").alias("new_t"), palindrome_frame(F.col("id"), frames).cast("int").alias("t"))
-    return pixels.join(F.broadcast(index), "t").drop("t").withColumnRenamed("new_t", "t")
+    return pixels.join(index, "t").drop("t").withColumnRenamed("new_t", "t")

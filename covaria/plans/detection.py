@@ -127,8 +127,11 @@ def _(spark, d):
 
 @query("f02_threshold_at_pfa", f"SELECT pfa, round(quantile_cont(stat, 1 - pfa), 6) + 0.0 AS threshold FROM {_H0} h, (SELECT unnest([0.01, 0.05, 0.1]) AS pfa) t GROUP BY pfa".replace("quantile_cont(stat, 1 - pfa)", "CASE pfa WHEN 0.01 THEN quantile_cont(stat, 0.99) WHEN 0.05 THEN quantile_cont(stat, 0.95) ELSE quantile_cont(stat, 0.9) END"))
 def _(spark, d):
-    h0 = _h0(spark, d)
-    return h0.groupBy().agg(*(F.percentile("stat", F.lit(q)).alias(n) for q, n in ((0.99, "a"), (0.95, "b"), (0.9, "c")))).select(F.expr("stack(3, 0.01D, a, 0.05D, b, 0.1D, c) as (pfa, threshold)")).select("pfa", r6("threshold"))
+    h0, out = _h0(spark, d), None
+    for pfa in (0.01, 0.05, 0.1):
+        one = decide.threshold_at_pfa(h0, pfa).select(F.lit(pfa).alias("pfa"), r6("threshold"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("f03_empirical_pd", f"SELECT round(avg((stat > 200.0)::INT), 6) + 0.0 AS pd FROM {_H1} h")
@@ -176,12 +179,13 @@ def _sonar_sql() -> dict[str, str]:
         return f"({_sql_form(np.outer(w, w), (one, two)[k], (one, two)[k])} / ({float(v @ w)!r} * {_sql_form(block, (one, two)[k], (one, two)[k])} + 1e-60))"
 
     a1, a2, a12 = powers(inverse)
-    s1, s2 = f"sqrt(abs({a1} + sqrt({a1} / {a2}) * {a12}))", f"sqrt(abs({a2} + sqrt({a2} / {a1}) * {a12}))"
+    s1, s2 = f"sqrt(abs({a1} + sqrt({a1} / ({a2} + 1e-30)) * {a12}))", f"sqrt(abs({a2} + sqrt({a2} / ({a1} + 1e-30)) * {a12}))"
+    u1, u2 = f"({s1} + 1e-60)", f"({s2} + 1e-60)"
     return {
         "glrt": f"{product(inverse)} / ({product(inverse - core)} + 1e-60)",
-        "rao": f"2 * ({_sql_form(core[:2, :2], one, one)} / ({s1} * {s1}) + {_sql_form(core[2:, 2:], two, two)} / ({s2} * {s2}) + 2 * {_sql_form(core[:2, 2:], one, two)} / ({s1} * {s2}))",
+        "rao": f"2 * ({_sql_form(core[:2, :2], one, one)} / ({u1} * {u1}) + {_sql_form(core[2:, 2:], two, two)} / ({u2} * {u2}) + 2 * {_sql_form(core[:2, 2:], one, two)} / ({u1} * {u2}))",
         "independent": f"-2 * (ln(1 - abs({single(0)}) + 1e-15) + ln(1 - abs({single(1)}) + 1e-15))",
-        "array1": single(0), "array2": single(1), "matched": _sql_form(core, (0, 1, 2, 3), (0, 1, 2, 3)),
+        "s1": s1, "s2": s2, "array1": single(0), "array2": single(1), "matched": _sql_form(core, (0, 1, 2, 3), (0, 1, 2, 3)),
     }
 
 
@@ -214,15 +218,11 @@ def _(spark, d):
     return x.select("n", r6(F.sqrt(F.abs(f(_SON[one, one], one, one)) * F.abs(f(_SON[two, two], two, two))) + f(_SON[one, two], one, two), "v"))
 
 
-@query("d09_h0_sigmas")
+@query("d09_h0_sigmas", f"SELECT n, round({_SQL['s1']}, 6) + 0.0 AS s1, round({_SQL['s2']}, 6) + 0.0 AS s2 FROM {_ROW}")
 def _(spark, d):
-    def kernel(x):
-        t1, t2 = det.est.textures(x.reshape(len(x), -1, 4), np.broadcast_to(np.linalg.inv(_SON), (len(x), 4, 4)), 2)
-        return {"s1": np.sqrt(t1), "s2": np.sqrt(t2)}
-
-    from covaria.operators.groups import by_group
-
-    return by_group(observations(spark, d, 4), ["g"], kernel, "s1 array<double>, s2 array<double>")
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("re"))
+    found = sonar_expr.statistics(F.col("re"), None, _SONAR, _SON)
+    return x.select("n", r6(found["s1"], "s1"), r6(found["s2"], "s2"))
 
 
 @query("d10_residual_inverse")
@@ -238,7 +238,7 @@ def _secondary(spark, d):
     """Labels as trials: the first sample is primary, the others are secondary."""
     o = observations(spark, d, 4, True).withColumn("trial", F.col("g").cast("long"))
     first = o.groupBy("trial").agg(F.min("n").alias("first"))
-    both = o.join(F.broadcast(first), "trial")
+    both = o.join(first, "trial")
     both = both.select("trial", "t", "n", "re", "im", "first")
     return both.where("n = first"), both.where("n <> first").select("trial", "t", "n", "re", "im")
 

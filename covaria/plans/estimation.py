@@ -78,7 +78,7 @@ def _(spark, d):
     return spark.range(100).select("id", *(F.exp(F.randn(k)).alias(f"x{k}") for k in range(3)))
 
 
-@query("b35_spv_zerovec")
+@query("b35_spv_zerovec", "SELECT vec_id AS n, 0.0 AS v0, 0.0 AS v1, 0.0 AS v2 FROM embeddings")
 def _(spark, d):
     return samples(spark, d, 3).select("n", *(F.lit(0.0).alias(f"v{k}") for k in range(3)))
 

@@ -28,13 +28,13 @@ def _stats(spark, law: dict, offline, step, trials: int = TRIALS) -> DataFrame:
         return {"online": np.stack([run[:, t - 1] for t in GRID], 1), "offline": np.stack([offline(x[:, :t]) for t in GRID], 1)}
 
     rows = by_group(gen.series(spark, trials, **law), ["trial"], kernel, "online array<double>, offline array<double>")
-    long = lambda m: rows.select(F.lit(m).alias("mode"), "trial", F.posexplode(m).alias("k", "stat"))
+    both = rows.select("trial", F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("stats")) for m in ("online", "offline")))).alias("x"))
     grid = F.array(*(F.lit(t) for t in GRID))
-    return long("online").unionByName(long("offline")).select("mode", "trial", F.get(grid, F.col("k")).alias("T"), "stat")
+    return both.select("x.mode", "trial", F.posexplode("x.stats").alias("k", "stat")).select("mode", "trial", F.get(grid, F.col("k")).alias("T"), "stat")
 
 
 def _h0(stats: DataFrame) -> DataFrame:
-    return decide.compare(stats.where("mode = 'online'"), stats.where("mode = 'offline'"), ["trial"])
+    return decide.compare_modes(stats, ["trial"])
 
 
 def _laws(kind: str):
@@ -111,10 +111,7 @@ def _row_power(x):
 
 @query("j01_pfa_threshold")
 def _(spark, d):
-    h0 = _sonar_stats(spark, 60)
-    ends = h0.groupBy("detector").agg(F.min("stat").alias("lo"), F.max("stat").alias("hi"))
-    grid = ends.select("detector", F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: F.col("lo") + k * (F.col("hi") - F.col("lo")) / 49)).alias("threshold"))
-    return h0.join(grid, "detector").groupBy("detector", "threshold").agg(F.avg((F.col("stat") > F.col("threshold")).cast("double")).alias("pfa"))
+    return decide.pfa_curve(_sonar_stats(spark, 60), 50, keys=["detector"])
 
 
 @query("j02_pd_snr")
@@ -175,7 +172,7 @@ def _cov(x):
     return np.cov(x)
 
 
-query("j05_scm_many_samples")(lambda spark, d: _context(spark, [(7, n) for n in (7, 49, 343)], lambda x: {"mean_error": float(np.linalg.norm(x.mean(1) - 1)), "cov_error": float(np.linalg.norm(_cov(x) - np.eye(len(x))))}))
+query("j05_scm_many_samples")(lambda spark, d: _context(spark, [(7, 7**k) for k in range(1, 6)], lambda x: {"mean_error": float(np.linalg.norm(x.mean(1) - 1)), "cov_error": float(np.linalg.norm(_cov(x) - np.eye(len(x))))}))
 
 
 def _errors(x):
@@ -185,7 +182,7 @@ def _errors(x):
 
 # The reference's whole grid, from fewer features than samples to 1,000 of them, and its 50 trials.
 query("j06_scm_few_samples")(lambda spark, d: _context(spark, [(int(p), 30) for p in np.unique(np.logspace(0.5, 3, 30, dtype=int))], _errors, 50))
-query("j07_linear_shrinkage")(lambda spark, d: _context(spark, [(p, 30) for p in (3, 30, 60)], lambda x: {"condition": float(np.linalg.cond(est.shrink(_cov(x), 0.1)))}))
+query("j07_linear_shrinkage")(lambda spark, d: _context(spark, [(int(p), 30) for p in np.unique(np.logspace(0.5, 3, 30, dtype=int))], lambda x: {"condition": float(np.linalg.cond(est.shrink(_cov(x), 0.1)))}))
 
 
 @query("j07_shrink", "SELECT n, round(0.9 * x0 * x0 + 0.1, 6) + 0.0 AS a, round(0.9 * x0 * x1, 6) + 0.0 AS b FROM (SELECT vec_id AS n, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1 FROM embeddings) q")

@@ -13,8 +13,10 @@ from covaria.streaming.online import event_samples, online
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one only where the session names none."""
+    """A new folder below the one that all executors share; a local one only for a local master that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{found or 'file:///tmp/checkpoints'}/covaria/stream-{uuid.uuid4().hex}"
 
 
@@ -22,9 +24,9 @@ def replayed(samples: DataFrame, step, delay: str, least: int) -> DataFrame:
     """What `online` gives for samples that arrive in two parts, and then time that goes on past the delay."""
     spark = samples.sparkSession
     at = work_folder(spark)
-    middle, last = samples.agg(F.percentile(F.col("t").cast("long"), F.lit(0.5)), F.max("t")).first()
-    late = F.col("t").cast("long") > middle
-    end = samples.sparkSession.range(1).select(F.lit("").alias("key"), (F.lit(last) + F.expr("interval 1000 days")).alias("t"), F.array(F.lit(0.0), F.lit(0.0)).alias("re"), F.lit(None).cast("array<double>").alias("im"))
+    first, last = samples.agg(F.min(F.unix_micros("t")), F.max(F.unix_micros("t"))).first()
+    late = F.unix_micros("t") > (first + last) // 2 if last is not None else F.lit(False)
+    end = samples.sparkSession.range(1).select(F.lit("").alias("key"), (F.timestamp_micros(F.lit(last or 0)) + F.expr("interval 1000 days")).alias("t"), F.array(F.lit(0.0), F.lit(0.0)).alias("re"), F.lit(None).cast("array<double>").alias("im"))
     for part in (samples.where(~late), samples.where(late), end):
         part.write.mode("append").parquet(f"{at}/in")
         stream = online(spark.readStream.schema(samples.schema).parquet(f"{at}/in"), step, delay, least)

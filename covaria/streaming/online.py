@@ -2,7 +2,8 @@
 
 A date's samples may come in several micro-batches and dates may come out of order: samples wait in the
 state until the event-time watermark has passed their date, then dates are taken in order. The state is a
-pure function of the samples, so a replayed batch changes nothing.
+pure function of the samples, so a replayed batch changes nothing. Inside, dates are microseconds since
+the epoch, as the watermark is, so the session's time zone and its clock changes have no say.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "key string, t timestamp, n_dates int, stat double"
-_STATE = "state binary, taken timestamp, waiting binary"
+_OUT = "key string, us long, n_dates int, stat double"
+_STATE = "state binary, taken long, waiting binary"
 
 
 def online(samples: DataFrame, step: Callable, delay: str = "1 day", least: int = 1) -> DataFrame:
@@ -31,10 +32,10 @@ def online(samples: DataFrame, step: Callable, delay: str = "1 day", least: int
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         inner, taken, waiting = (None, None, {}) if not state.exists else (pickle.loads(state.get[0]) if state.get[0] else None, state.get[1], pickle.loads(state.get[2]))
         for frame in frames:
-            for t, re, im in zip(frame["t"], frame["re"], frame["im"], strict=True):
+            for t, re, im in zip(frame["us"].tolist(), frame["re"], frame["im"], strict=True):
                 if taken is None or t > taken:
                     waiting.setdefault(t, []).append(np.asarray(re, float) + (0 if im is None else 1j * np.asarray(im, float)))
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        mark = 1000 * state.getCurrentWatermarkMs()
         rows, count = [], 0 if inner is None else inner[0]
         for t in sorted(waiting):
             if t >= mark:
@@ -51,12 +52,13 @@ def online(samples: DataFrame, step: Callable, delay: str = "1 day", least: int
             rows.append((key[0], t, count, float(stat)))
         state.update((pickle.dumps(inner) if inner is not None else None, taken, pickle.dumps(waiting)))
         if waiting:
-            state.setTimeoutTimestamp(int(min(waiting).timestamp() * 1000) + 1 if int(min(waiting).timestamp() * 1000) + 1 > state.getCurrentWatermarkMs() else state.getCurrentWatermarkMs() + 1)
+            state.setTimeoutTimestamp(max(min(waiting) // 1000, state.getCurrentWatermarkMs()) + 1)
         if rows:
-            yield pd.DataFrame(rows, columns=["key", "t", "n_dates", "stat"])
+            yield pd.DataFrame(rows, columns=["key", "us", "n_dates", "stat"])
 
-    clean = samples.where("key is not null and t is not null and re is not null").withWatermark("t", delay).select("key", "t", "re", "im")
-    return clean.groupBy("key").applyInPandasWithState(advance, OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    clean = samples.where("key is not null and t is not null and re is not null").withWatermark("t", delay).select("key", "t", F.unix_micros("t").alias("us"), "re", "im")
+    found = clean.groupBy("key").applyInPandasWithState(advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("key", F.timestamp_micros("us").alias("t"), "n_dates", "stat")
 
 
 def event_samples(events: DataFrame) -> DataFrame:

@@ -230,3 +230,85 @@ def test_scm_with_more_features_than_samples(spark):
     want = [np.linalg.norm(np.cov(v) - np.eye(10)) for v in x]
     assert abs(got[10]["cov_error_mean"] - np.mean(want)) < 1e-9 and abs(got[10]["cov_error_std"] - np.std(want)) < 1e-9
     assert got[1000]["mean_error_mean"] > got[10]["mean_error_mean"] and got[1000]["condition_mean"] > 1e10
+
+
+def test_thresholds_are_exact_quantiles(spark):
+    r = np.random.default_rng(5)
+    values = np.concatenate([r.standard_normal(4000), np.full(900, 0.25)])
+    df = spark.createDataFrame([(float(v), int(k % 3)) for k, v in enumerate(values)] + [(None, 1), (7.0, None)], "stat double, g int")
+    for pfa in (0.001, 0.1, 0.42, 1.0):
+        for accuracy in (100, 100_000):  # with the small one, values outside the sketch's range are only counted
+            got = {x["g"]: x["threshold"] for x in decide.threshold_at_pfa(df, pfa, ["g"], accuracy=accuracy).collect()}
+            assert got.keys() == {0, 1, 2, None} and got[None] == 7.0
+            assert all(np.isclose(got[g], np.quantile(values[np.arange(len(values)) % 3 == g], 1 - pfa)) for g in range(3))
+
+
+def test_exceeding_counts_strictly_and_by_key(spark):
+    stats = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (2, 5.0), (1, None)], "g int, stat double")
+    limits = spark.createDataFrame([(1, 2.0), (1, 0.0), (2, 5.0), (2, 4.0), (3, 1.0)], "g int, threshold double")
+    got = {(x["g"], x["threshold"]): x["pd"] for x in decide.exceeding(stats, limits, ["g"], "pd").collect()}
+    assert got == {(1, 2.0): 1 / 3, (1, 0.0): 1.0, (2, 5.0): 0.0, (2, 4.0): 1.0}
+    assert {x["threshold"]: x["pd"] for x in decide.exceeding(stats, limits.drop("g"), [], "pd").collect()} == {0.0: 1.0, 1.0: 0.75, 2.0: 0.5, 4.0: 0.25, 5.0: 0.0}
+
+
+def test_curves_by_key(spark):
+    df = spark.createDataFrame([(k % 2, float(k)) for k in range(40)], "g int, stat double")
+    got = decide.pfa_curve(df, 5, keys=["g"]).toPandas()
+    for g, rows in got.groupby("g"):
+        own = np.arange(40)[np.arange(40) % 2 == g]
+        assert len(rows) == 5 and all(np.isclose(p, (own > t).mean()) for t, p in zip(rows["threshold"], rows["pfa"], strict=True))
+
+
+def test_short_dates_are_left_out_or_null(spark):
+    r = np.random.default_rng(3)
+    rows = [("a", t, *map(float, r.standard_normal(2))) for t in range(3) for _ in range(2 if t == 1 else 6)]
+    df = spark.createDataFrame(rows, "g string, t int, x0 double, x1 double")
+    out, null = (mom.glrt(df, ["g"], "t", ["x0", "x1"], short).first() for short in ("leave out", "null"))
+    assert out["n_dates"] == 2 and out["stat"] is not None and null["n_dates"] == 3 and null["stat"] is None
+    run = [x["stat"] for x in mom.glrt_running(df, ["g"], "t", ["x0", "x1"], "null").orderBy("t").collect()]
+    assert run[0] is not None and run[1:] == [None, None]
+
+
+def test_reweighting_keeps_null_keys(spark):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(g, *map(float, r.standard_normal(2))) for g in ("a", None) for _ in range(20)], "g string, x0 double, x1 double")
+    assert {x["g"] for x in mom.reweighted(df, ["g"], 2, "tyler", "trace").collect()} == {"a", None}
+
+
+def test_groups_across_batches_and_beyond_the_bound(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        obs = spark.createDataFrame([(g, 0, k, [float(k), float(g)]) for g in (1, 2, 3) for k in range(10 * g)], "g int, t int, n int, re array<double>")
+        count = lambda x: {"v": np.full(len(x), float(x.shape[2]))}
+        assert {x["g"]: x["v"] for x in groups.by_group(obs.coalesce(1), ["g"], count, "v double").collect()} == {1: 10.0, 2: 20.0, 3: 30.0}
+        with pytest.raises(Exception, match="use moments"):
+            groups.by_group(obs, ["g"], count, "v double", most=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_silent_arrays_stay_finite():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((40, 4)) + 1j * r.standard_normal((40, 4))
+    x[0, 2:] = 0
+    sonar = det.Sonar(2, gen.steering(2, 30.0, 45.0))
+    assert np.isfinite(sonar.rao(x, np.eye(4))).all() and np.isfinite(est.two_array_tyler(x[None], 2)).all()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_streams_take_the_same_dates_in_every_time_zone(spark, tmp_path, zone):
+    """Six hourly dates, then time that goes on by four hours; across a clock change where the zone has one."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        r = np.random.default_rng(7)
+        rows = [("k", 1_762_059_600 + 3600 * h, [float(v) for v in r.standard_normal(2)]) for h in range(6) for _ in range(5)]
+        for part, some in enumerate((rows, [("k", 1_762_059_600 + 3600 * 9, [0.0, 1.0])])):
+            df = spark.createDataFrame(some, "key string, s long, re array<double>")
+            df.select("key", F.timestamp_seconds("s").alias("t"), "re", F.lit(None).cast("array<double>").alias("im")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+            stream = spark.readStream.schema("key string, t timestamp, re array<double>, im array<double>").parquet(f"file://{tmp_path}/in")
+            online(stream, det.gaussian_step, "1 hour", 3).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        got = [x[0] for x in spark.read.parquet(f"file://{tmp_path}/out").select(F.unix_seconds("t")).orderBy("t").collect()]
+        assert got == [1_762_059_600 + 3600 * h for h in range(6)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
