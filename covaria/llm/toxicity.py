@@ -229,8 +229,8 @@ def fit(labelled: DataFrame, lexicon: int = LEXICON, folds: int = 4) -> tuple[di
 
 
 def sampled_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs joined to at most about `sample` hashed label rows; that bound is why the labels may be broadcast."""
-    some = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """docs joined to at most about `sample` hashed label rows; that bound is why the labels may be broadcast. Of labels that repeat an id, the largest counts."""
+    some = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = some.count()
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")

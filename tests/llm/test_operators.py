@@ -484,6 +484,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_repeated_labels_count_once_and_null_ones_not(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 0), (2, 0), (2, None), (3, None), (None, 1)], "doc_id long, toxic int")
+    assert sorted((r["doc_id"], r["toxic"]) for r in toxicity.sampled_labels(docs, labels).collect()) == [(1, 1), (2, 0)]
+
+
 def test_isotonic_is_monotone_and_trees_learn():
     r = np.random.default_rng(0)
     x = r.standard_normal((3000, 4))
