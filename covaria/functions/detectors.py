@@ -11,9 +11,9 @@ from covaria.functions.linalg import ct, logdet, quadratic, trace
 
 
 def gaussian_glrt(x: np.ndarray) -> np.ndarray:
-    """T log det mean_t S_t - sum_t log det S_t of (..., T, N, p)."""
-    s = est.scm(x)
-    return x.shape[-3] * logdet(s.mean(-3)) - logdet(s).sum(-1)
+    """T log det mean_t S_t - sum_t log det S_t of (..., T, N, p), or of a list of dates (..., N_t, p) of unequal sizes."""
+    s = np.stack([est.scm(y) for y in x], -3) if isinstance(x, list) else est.scm(x)
+    return s.shape[-3] * logdet(s.mean(-3)) - logdet(s).sum(-1)
 
 
 def two_step_glrt(x: np.ndarray, estimate) -> np.ndarray:

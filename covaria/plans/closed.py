@@ -14,8 +14,7 @@ from covaria.functions import estimators as est
 from covaria.functions import linalg
 from covaria.functions import manifolds as man
 from covaria.operators.groups import by_group, detect
-from covaria.plans.detection import _D2
-from covaria.plans.registry import dated, observations, query, r6, samples_sql
+from covaria.plans.registry import SPREAD, observations, query, r6, samples_sql, spread
 
 _X2 = samples_sql(2)
 
@@ -176,28 +175,35 @@ def chain(name: str, keys: str, steps: int, kind: str, trace: bool) -> list[str]
 
 
 def _two_step(kind: str, trace: bool, steps: int = 3) -> str:
-    parts = [f"x AS (SELECT * FROM {_D2} x)", *chain("e", "g, t", steps, kind, trace), *chain("p", "g", steps, kind, trace)]
+    parts = [f"x AS (SELECT * FROM {SPREAD} x)", *chain("e", "g, t", steps, kind, trace), *chain("p", "g", steps, kind, trace)]
     return "WITH " + ", ".join(parts) + f" SELECT p.g AS g, round(5 * ln(p.a * p.c - p.b * p.b) - e.l, 6) + 0.0 AS stat FROM p{steps} p JOIN (SELECT g, sum(ln(a * c - b * b)) AS l FROM e{steps} GROUP BY g) e ON p.g = e.g"
 
 
-query("d03_two_step_student_real", _two_step("student", False))(lambda spark, d: detect(dated(spark, d), ["g"], lambda x: det.student_glrt(x, 3, 0.0, 3)).select("g", r6("stat")))
-query("d04_two_step_tyler_real", _two_step("tyler", True))(lambda spark, d: detect(dated(spark, d), ["g"], lambda x: det.tyler_glrt(x, 0.0, 3)).select("g", r6("stat")))
+query("d03_two_step_student_real", _two_step("student", False))(lambda spark, d: detect(spread(spark, d, False, 2), ["g"], lambda x: det.student_glrt(x, 3, 0.0, 3), uneven=True).select("g", r6("stat")))
+query("d04_two_step_tyler_real", _two_step("tyler", True))(lambda spark, d: detect(spread(spark, d, False, 2), ["g"], lambda x: det.tyler_glrt(x, 0.0, 3), uneven=True).select("g", r6("stat")))
 
 
-def _compound(steps: int = 3) -> str:
-    source = _D2.replace("k // 7 AS t,", "k // 7 AS t, k % 7 AS n,")
-    parts = [f"x AS (SELECT * FROM {source} x)", *chain("e", "g, t", steps, "tyler", True), "j0 AS (SELECT g, 1.0 AS a, 0.0 AS b, 1.0 AS c FROM x GROUP BY g)"]
-    for k in range(steps):
-        parts.append(f"jq{k} AS (SELECT x.g, x.n, x0, x1, sum((s.c * x0 * x0 - 2 * s.b * x0 * x1 + s.a * x1 * x1) / (s.a * s.c - s.b * s.b)) OVER (PARTITION BY x.g, x.n) AS tau FROM x JOIN j{k} s ON x.g = s.g)")
-        parts.append(f"jm{k} AS (SELECT g, sum(x0 * x0 / tau) AS a, sum(x0 * x1 / tau) AS b, sum(x1 * x1 / tau) AS c FROM jq{k} GROUP BY g)")
-        parts.append(f"j{k + 1} AS (SELECT g, a / ((a + c) / 2) AS a, b / ((a + c) / 2) AS b, c / ((a + c) / 2) AS c FROM jm{k})")
+def compound_sql(source: str, keys: str, steps: int, digits: int, pooled: bool = False) -> str:
+    """source has keys, t, n, x0, x1, dates of any sizes; pooled: the common shape is that of all dates' samples, each with its own texture."""
+    on = lambda p, q: " AND ".join(f"{p}.{k} = {q}.{k}" for k in keys.split(", "))
+    own = lambda p: ", ".join(f"{p}.{k}" for k in keys.split(", "))
     form = "(s.c * x0 * x0 - 2 * s.b * x0 * x1 + s.a * x1 * x1) / (s.a * s.c - s.b * s.b)"
+    parts = [f"x AS (SELECT * FROM {source} x)", *chain("e", f"{keys}, t", steps, "tyler", True)]
+    if pooled:
+        parts += chain("j", keys, steps, "tyler", True)
+    else:
+        parts.append(f"j0 AS (SELECT {keys}, 1.0 AS a, 0.0 AS b, 1.0 AS c FROM x GROUP BY {keys})")
+        for k in range(steps):
+            over = f"OVER (PARTITION BY {own('x')}, x.n)"
+            parts.append(f"jq{k} AS (SELECT {own('x')}, x.n, x0, x1, sum({form}) {over} / count(*) {over} AS tau FROM x JOIN j{k} s ON {on('x', 's')})")
+            parts.append(f"jm{k} AS (SELECT {keys}, sum(x0 * x0 / tau) AS a, sum(x0 * x1 / tau) AS b, sum(x1 * x1 / tau) AS c FROM jq{k} GROUP BY {keys})")
+            parts.append(f"j{k + 1} AS (SELECT {keys}, a / ((a + c) / 2) AS a, b / ((a + c) / 2) AS b, c / ((a + c) / 2) AS c FROM jm{k})")
     parts += [
-        f"q0 AS (SELECT g, sum(ln(q)) AS l FROM (SELECT x.g, x.n, avg({form}) AS q FROM x JOIN j{steps} s ON x.g = s.g GROUP BY x.g, x.n) y GROUP BY g)",
-        f"q1 AS (SELECT x.g, sum(ln({form})) AS l FROM x JOIN e{steps} s ON x.g = s.g AND x.t = s.t GROUP BY x.g)",
-        f"d1 AS (SELECT g, sum(ln(a * c - b * b)) AS l FROM e{steps} GROUP BY g)",
+        f"q0 AS (SELECT {keys}, sum(dates * ln(q)) AS l FROM (SELECT {own('x')}, x.n, count(*) AS dates, avg({form}) AS q FROM x JOIN j{steps} s ON {on('x', 's')} GROUP BY {own('x')}, x.n) y GROUP BY {keys})",
+        f"q1 AS (SELECT {own('x')}, count(*) AS n, sum(ln({form})) AS q, sum(ln(s.a * s.c - s.b * s.b)) AS l FROM x JOIN e{steps} s ON {on('x', 's')} AND x.t = s.t GROUP BY {own('x')})",
     ]
-    return "WITH " + ", ".join(parts) + f" SELECT s.g AS g, round(35 * ln(s.a * s.c - s.b * s.b) - 7 * d1.l + 10 * q0.l - 2 * q1.l, 5) + 0.0 AS stat FROM j{steps} s JOIN d1 ON s.g = d1.g JOIN q0 ON s.g = q0.g JOIN q1 ON s.g = q1.g"
+    joins = " ".join(f"JOIN {t} ON {on('s', t)}" for t in ("q0", "q1"))
+    return "WITH " + ", ".join(parts) + f" SELECT {own('s')}, round(q1.n * ln(s.a * s.c - s.b * s.b) - q1.l + 2 * q0.l - 2 * q1.q, {digits}) + 0.0 AS stat FROM j{steps} s {joins}"
 
 
-query("d05_compound_glrt_real", _compound())(lambda spark, d: detect(dated(spark, d), ["g"], lambda x: det.compound_glrt(x, 0.0, 3)).select("g", (F.round("stat", 5) + 0.0).alias("stat")))
+query("d05_compound_glrt_real", compound_sql(SPREAD, "g", 3, 5))(lambda spark, d: detect(spread(spark, d, False, 2), ["g"], lambda x: det.compound_glrt(x, 0.0, 3), uneven=True).select("g", (F.round("stat", 5) + 0.0).alias("stat")))

@@ -11,7 +11,7 @@ from covaria.operators import decide
 from covaria.operators import moments as mom
 from covaria.operators.adaptive import adaptive, unpivoted
 from covaria.operators.groups import detect, running
-from covaria.plans.registry import SERIES, dated, observations, query, r6, samples_sql, series, spread, table
+from covaria.plans.registry import SERIES, SPREAD, observations, query, r6, series, spread, table
 from covaria.sources import generate as gen
 
 
@@ -57,9 +57,8 @@ def _(spark, d):
 
 # The kernels on five dates a label.
 
-_D2 = "(SELECT g, k // 7 AS t, x0, x1 FROM (SELECT g, x0, x1, row_number() OVER (PARTITION BY g ORDER BY n) - 1 AS k FROM " + samples_sql(2) + " x) y WHERE k < 35)"
-_DK = f"(SELECT g, t, ln(avg(x0 * x0) * avg(x1 * x1) - avg(x0 * x1) * avg(x0 * x1)) AS ld, avg(x0 * x0) AS a, avg(x0 * x1) AS b, avg(x1 * x1) AS c FROM {_D2} x GROUP BY g, t) y"
-query("d02_gaussian_glrt_kernel", f"SELECT g, round(count(*) * ln(avg(a) * avg(c) - avg(b) * avg(b)) - sum(ld), 6) + 0.0 AS stat FROM {_DK} GROUP BY g")(lambda spark, d: detect(dated(spark, d), ["g"], det.gaussian_glrt).select("g", r6("stat")))
+_DK = f"(SELECT g, t, ln(avg(x0 * x0) * avg(x1 * x1) - avg(x0 * x1) * avg(x0 * x1)) AS ld, avg(x0 * x0) AS a, avg(x0 * x1) AS b, avg(x1 * x1) AS c FROM {SPREAD} x GROUP BY g, t) y"
+query("d02_gaussian_glrt_kernel", f"SELECT g, round(count(*) * ln(avg(a) * avg(c) - avg(b) * avg(b)) - sum(ld), 6) + 0.0 AS stat FROM {_DK} GROUP BY g")(lambda spark, d: detect(spread(spark, d, False, 2), ["g"], det.gaussian_glrt, uneven=True).select("g", r6("stat")))
 
 
 def _statistic(f):

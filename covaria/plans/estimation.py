@@ -11,7 +11,7 @@ from covaria.functions import manifolds as man
 from covaria.operators import moments as mom
 from covaria.operators.groups import by_group, estimate, flat
 from covaria.plans.matrices import _cells, _long
-from covaria.plans.registry import dated, observations, query, r6, samples, samples_sql, spread
+from covaria.plans.registry import SPREAD, observations, query, r6, samples, samples_sql, spread
 
 _X2 = samples_sql(2)
 
@@ -212,19 +212,22 @@ query("c13_armijo_step")(_scaled(lambda x: {"v": est.natural_gradient_step(x, _s
 query("c14_natural_gradient")(_scaled(lambda x: dict(zip(("v", "tau"), (lambda r: (r[0].real, r[1]))(est.natural_gradient(x)), strict=True)), out="v array<double>, tau array<double>"))
 query("c15_scaled_gaussian_estimator")(lambda spark, d: cells(estimate(observations(spark, d, 4, True), ["g"], lambda x: est.natural_gradient(x)[0]), 4))
 
-_D2 = "(SELECT g, k // 7 AS t, k % 7 AS n, x0, x1 FROM (SELECT g, x0, x1, row_number() OVER (PARTITION BY g ORDER BY n) - 1 AS k FROM " + _X2 + " x) y WHERE k < 35)"
-
-
 def _joint_sql(steps: int) -> str:
-    parts = [f"x AS (SELECT * FROM {_D2} x)", "s0 AS (SELECT g, 1.0 AS a, 0.0 AS b, 1.0 AS c FROM x GROUP BY g)"]
+    parts = [f"x AS (SELECT * FROM {SPREAD} x)", "s0 AS (SELECT g, 1.0 AS a, 0.0 AS b, 1.0 AS c FROM x GROUP BY g)"]
     for k in range(steps):
-        parts.append(f"q{k} AS (SELECT x.g, x.n, x0, x1, sum((s.c * x0 * x0 - 2 * s.b * x0 * x1 + s.a * x1 * x1) / (s.a * s.c - s.b * s.b)) OVER (PARTITION BY x.g, x.n) AS tau FROM x JOIN s{k} s ON x.g = s.g)")
+        parts.append(f"q{k} AS (SELECT x.g, x.n, x0, x1, sum((s.c * x0 * x0 - 2 * s.b * x0 * x1 + s.a * x1 * x1) / (s.a * s.c - s.b * s.b)) OVER (PARTITION BY x.g, x.n) / count(*) OVER (PARTITION BY x.g, x.n) AS tau FROM x JOIN s{k} s ON x.g = s.g)")
         parts.append(f"m{k} AS (SELECT g, sum(x0 * x0 / tau) AS a, sum(x0 * x1 / tau) AS b, sum(x1 * x1 / tau) AS c FROM q{k} GROUP BY g)")
         parts.append(f"s{k + 1} AS (SELECT g, a / ((a + c) / 2) AS a, b / ((a + c) / 2) AS b, c / ((a + c) / 2) AS c FROM m{k})")
     return "WITH " + ", ".join(parts) + " " + _long({(0, 0): "a", (0, 1): "b", (1, 0): "b", (1, 1): "c"}, f"SELECT * FROM s{steps}")
 
 
-query("c16_matrix_and_texture", _joint_sql(5))(lambda spark, d: real_cells(by_group(dated(spark, d), ["g"], lambda x: flat(est.matrix_and_texture(x, 0.0, 5)), "sigma_re array<double>, sigma_im array<double>"), 2))
+def _shared(x):
+    """Five steps over dates of equal or unequal sizes."""
+    whole, dates = est.padded(x) if isinstance(x, list) else (x, 1)
+    return est.matrix_and_texture(whole, 0.0, 5, weight=dates)
+
+
+query("c16_matrix_and_texture", _joint_sql(5))(lambda spark, d: real_cells(by_group(spread(spark, d, False, 2), ["g"], lambda x: flat(_shared(x)), "sigma_re array<double>, sigma_im array<double>", uneven=True), 2))
 
 
 def _two_sql(steps: int) -> str:

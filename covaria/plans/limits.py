@@ -11,10 +11,9 @@ from covaria.functions import linalg
 from covaria.functions import manifolds as man
 from covaria.operators.adaptive import adaptive
 from covaria.operators.groups import by_group, detect, estimate
-from covaria.plans.closed import chain
-from covaria.plans.detection import _D2
-from covaria.plans.layout import _SCENE, K, scene, windowed
-from covaria.plans.registry import dated, observations, query, r6, samples_sql
+from covaria.plans.closed import chain, compound_sql
+from covaria.plans.layout import _SCENE, scene, windowed
+from covaria.plans.registry import SPREAD, observations, query, r6, samples_sql, spread
 
 _X2 = samples_sql(2)
 _SCM = f"(SELECT g, avg(x0 * x0) AS a, avg(x0 * x1) AS b, avg(x1 * x1) AS c FROM {_X2} t GROUP BY g) s"
@@ -140,37 +139,16 @@ def _(spark, d):
 # Compound statistics of any keys, dates and samples: as a map, and with a factor of one as the Kronecker statistic.
 
 
-def compound_sql(source: str, keys: str, dates: int, n: int, steps: int, digits: int, pooled: bool = False) -> str:
-    """source has keys, t, n, x0, x1; pooled: the common shape is that of all dates' samples, each with its own texture."""
-    on = lambda p, q: " AND ".join(f"{p}.{k} = {q}.{k}" for k in keys.split(", "))
-    own = lambda p: ", ".join(f"{p}.{k}" for k in keys.split(", "))
-    parts = [f"x AS (SELECT * FROM {source} x)", *chain("e", f"{keys}, t", steps, "tyler", True), f"j0 AS (SELECT {keys}, 1.0 AS a, 0.0 AS b, 1.0 AS c FROM x GROUP BY {keys})"]
-    form = "(s.c * x0 * x0 - 2 * s.b * x0 * x1 + s.a * x1 * x1) / (s.a * s.c - s.b * s.b)"
-    if pooled:
-        parts = parts[:-1] + chain("j", keys, steps, "tyler", True)
-    for k in range(0 if pooled else steps):
-        parts.append(f"jq{k} AS (SELECT {own('x')}, x.n, x0, x1, sum({form}) OVER (PARTITION BY {own('x')}, x.n) AS tau FROM x JOIN j{k} s ON {on('x', 's')})")
-        parts.append(f"jm{k} AS (SELECT {keys}, sum(x0 * x0 / tau) AS a, sum(x0 * x1 / tau) AS b, sum(x1 * x1 / tau) AS c FROM jq{k} GROUP BY {keys})")
-        parts.append(f"j{k + 1} AS (SELECT {keys}, a / ((a + c) / 2) AS a, b / ((a + c) / 2) AS b, c / ((a + c) / 2) AS c FROM jm{k})")
-    parts += [
-        f"q0 AS (SELECT {keys}, sum(ln(q)) AS l FROM (SELECT {own('x')}, x.n, avg({form}) AS q FROM x JOIN j{steps} s ON {on('x', 's')} GROUP BY {own('x')}, x.n) y GROUP BY {keys})",
-        f"q1 AS (SELECT {own('x')}, sum(ln({form})) AS l FROM x JOIN e{steps} s ON {on('x', 's')} AND x.t = s.t GROUP BY {own('x')})",
-        f"d1 AS (SELECT {keys}, sum(ln(a * c - b * b)) AS l FROM e{steps} GROUP BY {keys})",
-    ]
-    joins = " ".join(f"JOIN {t} ON {on('s', t)}" for t in ("d1", "q0", "q1"))
-    return "WITH " + ", ".join(parts) + f" SELECT {own('s')}, round({dates * n} * ln(s.a * s.c - s.b * s.b) - {n} * d1.l + {2 * dates} * q0.l - 2 * q1.l, {digits}) + 0.0 AS stat FROM j{steps} s {joins}"
-
-
 _WINDOWS = f"(SELECT * FROM (SELECT wrow::INT AS wrow, wcol::INT AS wcol, t, (row - wrow) * 3 + col - wcol AS n, a AS x0, b AS x1, count(*) OVER (PARTITION BY wrow, wcol) AS whole FROM {_SCENE} p, (SELECT unnest(range(0, 10)) AS wrow) y, (SELECT unnest(range(0, 10)) AS wcol) z WHERE row BETWEEN wrow AND wrow + 2 AND col BETWEEN wcol AND wcol + 2) v WHERE whole = 63)"
 
 
-@query("i02_offline_compound_map_steps", compound_sql(_WINDOWS, "wrow, wcol", 7, K * K, 2, 3))
+@query("i02_offline_compound_map_steps", compound_sql(_WINDOWS, "wrow, wcol", 2, 3))
 def _(spark, d):
     """Windows that lack a pixel on some date have no result."""
     got = detect(windowed(scene(spark, d, fill=False)), ["wrow", "wcol"], lambda x: det.compound_glrt(x, 0.0, 2)).where("stat is not null")
     return got.select("wrow", "wcol", (F.round("stat", 3) + 0.0).alias("stat"))
 
 
-query("d06_kronecker_glrt_real", compound_sql(_D2.replace("k // 7 AS t,", "k // 7 AS t, k % 7 AS n,"), "g", 5, 7, 30, 2, pooled=True))(
-    lambda spark, d: detect(dated(spark, d), ["g"], lambda x: det.kronecker_glrt(x, 1, 2, 1e-12, 300)).select("g", (F.round("stat", 2) + 0.0).alias("stat"))
+query("d06_kronecker_glrt_real", compound_sql(SPREAD, "g", 30, 2, pooled=True))(
+    lambda spark, d: detect(spread(spark, d, False, 2), ["g"], lambda x: det.kronecker_glrt(x, 1, 2, 1e-12, 300), uneven=True).select("g", (F.round("stat", 2) + 0.0).alias("stat"))
 )

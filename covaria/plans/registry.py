@@ -61,15 +61,6 @@ def observations(spark: SparkSession, sf_dir: str, p: int, complex_: bool = Fals
     return e.select(F.col("label").alias("g"), F.lit(0).alias("t"), F.col("vec_id").cast("int").alias("n"), part(0).alias("re"), (part(32) if complex_ else F.lit(None).cast("array<double>")).alias("im"))
 
 
-def dated(spark: SparkSession, sf_dir: str, complex_: bool = False, p: int = 2, per: int = 7) -> DataFrame:
-    """obs(g, t, n, re, im): labels as pixels, 5 dates of `per` samples each by order of vec_id."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("g").orderBy("n")) - 1
-    o = observations(spark, sf_dir, p, complex_).drop("t").withColumn("k", n).where(F.col("k") < 5 * per)
-    return o.select("g", F.floor(F.col("k") / per).cast("int").alias("t"), (F.col("k") % per).cast("int").alias("n"), "re", "im")
-
-
 def spread(spark: SparkSession, sf_dir: str, complex_: bool = True, p: int = 4, dates: int = 5) -> DataFrame:
     """obs(g, t, n, re, im): labels as pixels, all samples of each spread over the dates by order of vec_id; sizes differ by one at most."""
     from pyspark.sql import Window
@@ -80,6 +71,10 @@ def spread(spark: SparkSession, sf_dir: str, complex_: bool = True, p: int = 4,
     return o.select("g", "t", F.expr(f"cast(k - (t * c + {dates - 1}) div {dates} as int)").alias("n"), "re", "im")
 
 
+#: g, t, n, x0, x1: the same in SQL, for two real features and five dates.
+SPREAD = f"(SELECT g, t, k - (t * c + 4) // 5 AS n, x0, x1 FROM (SELECT *, k * 5 // c AS t FROM (SELECT g, x0, x1, row_number() OVER (PARTITION BY g ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY g) AS c FROM {samples_sql(2)} x) y) z)"
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """g, t, x0, x1, x2: line items by supplier and year, features about standardised."""
     x = table(spark, sf_dir, "lineitem")
