@@ -2,8 +2,8 @@
 
 The features of a text are lexicon densities, closeness of lexicon words to second-person words, rates of
 capitals, of punctuation and of obfuscated words. Besides a short fixed word list, the lexicon holds words
-and word beginnings learned from labelled rows. Lexicon, trees and calibration learn from three disjoint
-folds of a bounded, hashed sample of the labelled rows; scoring is one pass over whole texts.
+and word beginnings learned from labelled rows. All learn from a bounded, hashed sample of the labelled
+rows, cross-fitted (see fit); scoring is one pass over whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from covaria.llm.common import arrow_map, remainder, stored, table, utf8_rows
 #: The bound of the labelled sample that the classifier is fitted on, and of the learned lexicon.
 SAMPLE, LEXICON = 40_000, 20_000
 THRESHOLD = 0.3
+#: Hash values that the sample is a share of; many, so that the share of any number of labels is not rounded to nothing.
+SHARES = 1 << 62
 #: Insults, and second-person words of English, French, German and Spanish.
 SEEDS = frozenset(
     "asshole bastard bitch bullshit clown coward creep crap cretin cunt damn degenerate disgrace disgusting dumb dumbass filth filthy fool freak fuck fucking garbage "
@@ -156,13 +158,14 @@ class Trees:
 
 
 class Isotonic:
-    """A non-decreasing fit by pool-adjacent-violators, linear between the pools' centres."""
+    """A non-decreasing fit by pool-adjacent-violators, linear between the pools' centres; equal margins are one pool."""
 
     def __init__(self, margin: np.ndarray, y: np.ndarray):
-        order = np.argsort(margin, kind="stable")
+        at, tied, count = np.unique(margin, return_inverse=True, return_counts=True)
+        mean = np.bincount(tied, y, len(at)) / count
         pools: list[list[float]] = []  # weight, mean label, mean margin
-        for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-            pools.append([1.0, v, m])
+        for m, v, n in zip(at.tolist(), mean.tolist(), count.tolist(), strict=True):
+            pools.append([float(n), v, m])
             while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
                 w, v2, m2 = pools.pop()
                 w0, v0, m0 = pools[-1]
@@ -232,7 +235,7 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """docs joined to at most about `sample` hashed label rows; that bound is why the labels may be broadcast. Of labels that repeat an id, the largest counts."""
     some = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = some.count()
-    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
+    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < int(SHARES * min(1.0, sample / max(n, 1))))
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 

@@ -617,3 +617,42 @@ def test_exact_dedup(spark, bits):
 def test_exact_dedup_runs_no_python(spark):
     plan = exact_dedup.exact_dedup(frame(spark, EDGES))._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan and "Python" not in plan
+
+
+def test_isotonic_pools_equal_margins_whatever_their_order():
+    m, y = np.array([0.0] * 4 + [1.0] * 4), np.array([0, 0, 1, 1, 0, 1, 1, 1.0])
+    curves = [toxicity.Isotonic(m[p], y[p]) for p in (np.arange(8), np.arange(8)[::-1], np.array([2, 0, 3, 1, 7, 4, 6, 5]))]
+    assert all(c.x.tolist() == [0.0, 1.0] for c in curves)
+    assert all(np.array_equal(c(m), curves[0](m)) for c in curves)
+    assert curves[0].y == pytest.approx([(2 + 0.5) / 5, (3 + 1 / (1 + math.exp(-1))) / 5])
+
+
+def test_first_split_has_the_largest_gain_of_all():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(0, 1, 200) > 3).astype(float)
+    trees = toxicity.Trees(x, y, rounds=1, depth=1)
+    p = 1 / (1 + math.exp(-trees.start))
+
+    def gain(left):
+        sides = [((y[s] - p).sum() ** 2 / (s.sum() * p * (1 - p) + 1.0), s.sum() * p * (1 - p)) for s in (left, ~left)]
+        return sum(g for g, _ in sides) if min(h for _, h in sides) >= 3.0 else -1.0
+
+    best = max(gain(x[:, f] <= c) for f in range(3) for c in range(6))
+    (feature, cut), = trees.trees[0][0]
+    assert gain(x[:, feature[0]] <= trees.edges[feature[0]][cut[0]]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("labels", [[], [None, None, None, None], [0, 0, 0, 0], [1, 1, 1, 1], [0, 1, None, 1]])
+def test_toxicity_fits_few_null_and_one_class_labels(spark, labels):
+    """Nothing learned gives the labels' smoothed share, one for all texts; a null or empty text has a score too."""
+    texts = ["you are fine", None, "", "a clean text of some words"]
+    rows = [(k, t, y) for (k, t), y in zip(enumerate(texts), labels, strict=False)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+    known = [y for y in labels if y is not None]
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    if len(set(known)) < 2:
+        assert len({r["score"] for r in got}) == 1
+        assert got[0]["score"] == pytest.approx((sum(known) + 0.5) / (len(known) + 1), abs=0.2)
