@@ -208,6 +208,12 @@ class Sonar:
             raise ValueError("array must be 0 or 1")
         return self._single(x, self._block_inverses(cov, adaptive)[array], array)
 
+    def array1(self, x, cov):
+        return self.single(x, cov, 0)
+
+    def array2(self, x, cov):
+        return self.single(x, cov, 1)
+
     def all(self, x, cov, adaptive: bool = False) -> dict[str, np.ndarray]:
         return {
             "glrt": self.glrt(x, cov), "rao": self.rao(x, cov), "independent": self.independent(x, cov, adaptive),

@@ -108,32 +108,35 @@ FLOOR = 1e-30
 
 def two_array_tyler(x: np.ndarray, m: int, tol: float = 1e-6, iter_max: int = 500, history: list | None = None) -> np.ndarray:
     """Tyler's estimate for two arrays of m sensors, each with a texture of its own; trace 2m."""
-    k = x.shape[-2]
-    s = np.broadcast_to(np.eye(2 * m, dtype=x.dtype), (*x.shape[:-2], 2 * m, 2 * m)).copy()
-    live = np.ones(s.shape[:-2], bool)
+    k, batch = x.shape[-2], x.shape[:-2]
+    x = x.reshape(-1, k, 2 * m)
+    s = np.broadcast_to(np.eye(2 * m, dtype=x.dtype), (len(x), 2 * m, 2 * m)).copy()
+    live, y = np.arange(len(x)), x  # what has converged is not computed again
     for _ in range(iter_max):
-        inverse = np.linalg.inv(s)
-        t1, t2 = (t + FLOOR for t in textures(x, inverse, m))
-        scaled = np.concatenate([x[..., :m] / np.sqrt(t1)[..., None], x[..., m:] / np.sqrt(t2)[..., None]], -1)
+        t1, t2 = (t + FLOOR for t in textures(y, np.linalg.inv(s[live]), m))
+        scaled = np.concatenate([y[..., :m] / np.sqrt(t1)[..., None], y[..., m:] / np.sqrt(t2)[..., None]], -1)
         new = normalise(np.swapaxes(np.conj(scaled), -1, -2) @ scaled / k, "trace")
-        moved = np.linalg.norm(new - s, axis=(-2, -1)) / np.linalg.norm(s, axis=(-2, -1))
-        s = np.where(live[..., None, None], new, s)
+        moved = np.linalg.norm(new - s[live], axis=(-2, -1)) / np.linalg.norm(s[live], axis=(-2, -1))
+        s[live] = new
         if history is not None:
-            history.append(np.where(live, moved, 0.0))
-        live = live & (moved > tol)
-        if not live.any():
+            step = np.zeros(len(x))
+            step[live] = moved
+            history.append(step.reshape(batch))
+        on = moved > tol
+        if not on.all():
+            live, y = live[on], y[on]
+        if not len(live):
             break
     if history is not None:  # a trial that has stopped moves no more
-        history.extend(np.zeros(live.shape) for _ in range(iter_max - len(history)))
-    return s
+        history.extend(np.zeros(batch) for _ in range(iter_max - len(history)))
+    return s.reshape(*batch, 2 * m, 2 * m)
 
 
 def textures(x: np.ndarray, inverse: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """The two arrays' powers of each sample under an inverse covariance (..., 2m, 2m); a silent array is floored, so that all stay finite."""
-    a, b = x[..., :m], x[..., m:]
-    t1 = quadratic(a, inverse[..., :m, :m]) / m
-    t2 = quadratic(b, inverse[..., m:, m:]) / m
-    t12 = np.einsum("...ni,...ij,...nj->...n", np.conj(a), inverse[..., :m, m:], b, optimize=True).real / m
+    a, b, by = x[..., :m], x[..., m:], np.swapaxes(inverse, -1, -2)
+    form = lambda u, v, part: np.einsum("...i,...i->...", np.conj(u), v @ part).real / m
+    t1, t2, t12 = form(a, a, by[..., :m, :m]), form(b, b, by[..., m:, m:]), form(a, b, by[..., m:, :m])
     return np.abs(t1 + np.sqrt(t1 / (t2 + FLOOR)) * t12), np.abs(t2 + np.sqrt(t2 / (t1 + FLOOR)) * t12)
 
 

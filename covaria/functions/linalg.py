@@ -71,7 +71,7 @@ def logdet(a: np.ndarray) -> np.ndarray:
 
 def quadratic(x: np.ndarray, inverse: np.ndarray) -> np.ndarray:
     """Re x^H inverse x for samples on the axis before last: (..., N, p), (..., p, p) -> (..., N)."""
-    return np.einsum("...ni,...ij,...nj->...n", np.conj(x), inverse, x, optimize=True).real
+    return np.einsum("...i,...i->...", np.conj(x), x @ np.swapaxes(inverse, -1, -2)).real
 
 
 def normalise(s: np.ndarray, mode: str | None) -> np.ndarray:

@@ -1,7 +1,12 @@
-"""Queries of the generators, the Monte-Carlo pipelines and the context experiments; trials are kept small."""
+"""Queries of the generators, the Monte-Carlo pipelines and the context experiments.
+
+Sizes are arguments; those of the queries fit one machine.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,62 +14,98 @@ from pyspark.sql import functions as F
 from covaria.functions import detectors as det
 from covaria.functions import estimators as est
 from covaria.operators import decide
-from covaria.operators.adaptive import adaptive, unpivoted
 from covaria.operators.groups import by_group
+from covaria.operators.trials import simulate, sonar_kernel, sonar_trials
 from covaria.plans.registry import query, r6
 from covaria.sources import generate as gen
 
-TRIALS, DATES, GRID = 40, 12, (3, 6, 12)
+DATES = 12
 
 
-def _stats(spark, law: dict, offline, step, trials: int = TRIALS) -> DataFrame:
-    """mode, trial, T, stat: for each trial the running and the offline statistic over its first T dates.
+@dataclass(frozen=True)
+class Sizes:
+    """Of a run over dates; the defaults are those of a full run, at least 10 / pfa trials are needed for a threshold."""
 
-    The running statistic is one fold over all dates; offline prefixes are computed by the same task.
-    """
+    trials: int = 10_000
+    least: int = 5
+    most: int = 1_000
+    points: int = 30
+    pfa: float = 1e-3
+    fraction: float = 0.5
 
-    def kernel(x):
-        run = det.fold(x, step)
-        return {"online": np.stack([run[:, t - 1] for t in GRID], 1), "offline": np.stack([offline(x[:, :t]) for t in GRID], 1)}
+    @property
+    def dates(self) -> list[int]:
+        return gen.dates_grid(self.least, self.most, self.points)
 
-    rows = by_group(gen.series(spark, trials, **law), ["trial"], kernel, "online array<double>, offline array<double>")
-    both = rows.select("trial", F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("stats")) for m in ("online", "offline")))).alias("x"))
-    grid = F.array(*(F.lit(t) for t in GRID))
-    return both.select("x.mode", "trial", F.posexplode("x.stats").alias("k", "stat")).select("mode", "trial", F.get(grid, F.col("k")).alias("T"), "stat")
 
+def over_dates(spark, law: dict, offline, step, sizes: Sizes, changes: bool = False) -> DataFrame:
+    """mode, trial, T, stat: the running and the offline statistic over T dates, for each trial and T of the grid.
 
-def _h0(stats: DataFrame) -> DataFrame:
-    return decide.compare_modes(stats, ["trial"])
-
-
-def _laws(kind: str):
+    Without changes one series a trial serves every T: one fold, and offline statistics of its prefixes. With
+    them each T has series of its own, whose law changes at the share `fraction` of T, at the third date at least.
+    """
+    grid = sizes.dates
+    length = max(grid)
+    n, p = law["n"], 6 if law["law"] == "kronecker" else len(law["before"])
+
+    def kernel(cases, trials):
+        out = {name: [None] * len(trials) for name in ("T", "online", "offline")}
+        for c in np.unique(cases):
+            rows = np.flatnonzero(cases == c)
+            ts = [grid[c]] if changes else grid
+            at = max(2, int(ts[-1] * sizes.fraction)) if changes else None
+            x = np.stack([gen.trial(k=int(k), **(law | {"dates": ts[-1], "change": at})) for k in trials[rows]])
+            run = det.fold(x, step)[:, [t - 1 for t in ts]].tolist()
+            whole = np.stack([offline(x[:, :t]) for t in ts], 1).tolist()
+            for r, a, b in zip(rows, run, whole, strict=True):
+                out["T"][r], out["online"][r], out["offline"][r] = ts, a, b
+        return out
+
+    rows = simulate(spark, len(grid) if changes else 1, sizes.trials, kernel, "T array<int>, online array<double>, offline array<double>", length * n * p * 16)
+    long = rows.select("trial", F.explode(F.arrays_zip("T", "online", "offline")).alias("x")).select("trial", "x.T", "x.online", "x.offline")
+    return long.unpivot(["trial", "T"], ["online", "offline"], "mode", "stat")
+
+
+def _laws(kind: str, dates: int = DATES):
     """(law under H0, law under H1) for a kind."""
     if kind == "kronecker":
-        before, after = gen.factors(2, 3), gen.factors(2, 3, 5, 6)
-        common = {"seed": 42, "law": kind, "dates": DATES, "n": 13}
+        before, after = gen.factors(2, 3), gen.factors(2, 3, 8, 3)
+        common = {"seed": 42, "law": kind, "dates": dates, "n": 7}
     else:
         mode = "trace" if kind == "compound" else "det"
         before, after = gen.covariance(4, 0, mode), gen.covariance(4, 1, mode)
-        common = {"seed": 42, "law": kind, "dates": DATES, "n": 9}
-    return common | {"before": before}, common | {"before": before, "after": after, "change": DATES // 2}
+        common = {"seed": 42, "law": kind, "dates": dates, "n": 9}
+    return common | {"before": before}, common | {"before": before, "after": after, "change": dates // 2}
 
 
 _METHODS = {
     "gaussian": (det.gaussian_glrt, det.gaussian_step),
-    "compound": (lambda x: det.compound_glrt(x, iter_max=20), lambda s, x: det.compound_step(s, x, iter_max=20)),
-    "kronecker": (lambda x: det.kronecker_glrt(x, 2, 3), lambda s, x: det.kronecker_step(s, x, 2, 3)),
+    "compound": (lambda x: det.compound_glrt(x, iter_max=20), lambda s, x: det.compound_step(s, x, iter_max=20, tol=1e-4)),
+    "kronecker": (lambda x: det.kronecker_glrt(x, 2, 3, iter_max=20), lambda s, x: det.kronecker_step(s, x, 2, 3, iter_max=20)),
 }
-for _k, _kind in enumerate(_METHODS):
 
-    def _null(spark, d, kind=_kind):
-        return _h0(_stats(spark, _laws(kind)[0], *_METHODS[kind]))
 
-    def _power(spark, d, kind=_kind):
-        h0, h1 = (_stats(spark, law, *_METHODS[kind]) for law in _laws(kind))
-        return decide.power(h0, h1, 0.1, ["mode", "T"])
+def null_moments(spark, kind: str, sizes: Sizes) -> DataFrame:
+    """T, and means and deviations over the trials without a change."""
+    return decide.compare_modes(over_dates(spark, _laws(kind)[0], *_METHODS[kind], sizes), ["trial"])
+
+
+def detection_power(spark, kind: str, sizes: Sizes) -> DataFrame:
+    """mode, T, threshold, power: thresholds from trials without a change, with the same seed."""
+    none, some = _laws(kind)
+    h0, h1 = over_dates(spark, none, *_METHODS[kind], sizes), over_dates(spark, some, *_METHODS[kind], sizes, True)
+    return decide.power(h0, h1, sizes.pfa, ["mode", "T"])
 
-    query(f"i{9 + 2 * _k:02d}_mc_{_kind}_h0")(_null)
-    query(f"i{10 + 2 * _k:02d}_mc_{_kind}_h1")(_power)
+
+#: What the queries run; thresholds have 10 / pfa trials.
+SIZES = {
+    "gaussian": (Sizes(1_000), Sizes(1_000, most=200, pfa=1e-2)),
+    "compound": (Sizes(50, most=200), Sizes(100, most=50, points=10, pfa=0.1)),
+    "kronecker": (Sizes(50, most=100), Sizes(100, most=50, points=10, pfa=0.1)),
+}
+for _k, _kind in enumerate(_METHODS):
+    query(f"i{9 + 2 * _k:02d}_mc_{_kind}_h0")(lambda spark, d, kind=_kind: null_moments(spark, kind, SIZES[kind][0]))
+    query(f"i{10 + 2 * _k:02d}_mc_{_kind}_h1")(lambda spark, d, kind=_kind: detection_power(spark, kind, SIZES[kind][1]))
 
 
 def _moment(spark, law, trials=20):
@@ -89,15 +130,28 @@ for _id, _kind, _side in (("g02_gaussian", "gaussian", 0), ("g03_compound", "com
 
 _M = 4
 _COV, _P = gen.sonar_covariance(_M), gen.steering(_M, 30.0, 45.0)
-_SONAR = det.Sonar(_M, _P)
-_NAMES = ["glrt", "rao", "independent", "array1", "array2", "matched"]
+_SONAR = det.Sonar(_M, gen.steering(_M, 45.0, 45.0))
 
 
-def _sonar_stats(spark, trials, signal=None, shape=1.0, scale=1.0, seed=0, adaptive_k=32):
-    """trial, detector, stat of adaptive detectors with 4 m secondary samples a trial."""
-    primary = gen.sonar_samples(spark, trials, _M, _COV, 1, signal, shape, scale, seed)
-    secondary = gen.sonar_samples(spark, trials, _M, _COV, adaptive_k, None, shape, scale, seed + 100)
-    return unpivoted(adaptive(primary, secondary, _SONAR, lambda x: est.two_array_tyler(x, _M, iter_max=30)), ["trial"], _NAMES)
+def _tyler(x):
+    return est.two_array_tyler(x, x.shape[-1] // 2)
+
+
+#: The statistic and the estimator of each detector; none where the covariance is known.
+DETECTORS = {
+    "glrt": ("glrt", None), "rao": ("rao", None), "independent": ("independent", None), "array1": ("array1", None), "array2": ("array2", None), "matched": ("matched", None),
+    "glrt_tyler": ("glrt", _tyler), "rao_tyler": ("rao", _tyler), "glrt_scm": ("glrt", est.scm), "rao_scm": ("rao", est.scm),
+}
+
+
+def _of(*names: str) -> dict[str, tuple]:
+    return {n: DETECTORS[n] for n in names}
+
+
+def sonar_stats(spark, trials: int, detectors: dict[str, tuple], cases: int = 1, signal=None, seed: int = 0, **texture) -> DataFrame:
+    """case, trial, detector, stat with 4 m secondary samples a trial."""
+    kernel = sonar_kernel(_SONAR, _COV, detectors, signal, seed=seed, **texture)
+    return sonar_trials(spark, cases, trials, kernel, detectors, _M)
 
 
 query("g11_sonar_h0")(lambda spark, d: _row_power(gen.sonar_samples(spark, 50, _M, _COV)))
@@ -111,34 +165,41 @@ def _row_power(x):
 
 @query("j01_pfa_threshold")
 def _(spark, d):
-    return decide.pfa_curve(_sonar_stats(spark, 60), 50, keys=["detector"])
+    """Seven detectors, known covariance and adaptive ones, over 500 thresholds each."""
+    seven = _of("glrt", "rao", "independent", "matched", "glrt_tyler", "rao_tyler", "glrt_scm")
+    return decide.pfa_curve(sonar_stats(spark, 10_000, seven), 500, keys=["detector"])
 
 
-@query("j02_pd_snr")
-def _(spark, d):
-    db, alphas = gen.snr_sweep(_M, _COV, _P, -10.0, 10.0, 4)
-    h0 = _sonar_stats(spark, 60)
-    h1 = None
-    for x, a in zip(db, alphas, strict=True):
-        one = _sonar_stats(spark, 30, _P @ np.full(2, a), seed=1).withColumn("snr", F.lit(float(x)))
-        h1 = one if h1 is None else h1.unionByName(one)
-    return _pd(h0, h1)
+def detected(spark, detectors: dict[str, tuple], pfa: float, trials_h0: int, trials: int, cases: int, signal) -> DataFrame:
+    """case, detector, pd: a threshold for each detector from trials without a signal, rates for each case of a signal."""
+    limits = decide.threshold_at_pfa(sonar_stats(spark, trials_h0, detectors), pfa, ["detector"])
+    h1 = sonar_stats(spark, trials, detectors, cases, signal, seed=1)
+    return h1.join(limits, "detector").groupBy("case", "detector").agg(F.avg((F.col("stat") > F.col("threshold")).cast("double")).alias("pd"))
+
 
+def _named(rates: DataFrame, **values) -> DataFrame:
+    """The cases' numbers as values, which are arrays by case."""
+    at = lambda v: F.get(F.array(*(F.lit(float(y)) for y in v)), F.col("case"))
+    return rates.select("detector", *(at(v).alias(n) for n, v in values.items()), "pd")
 
-def _pd(h0, h1, by="snr"):
-    """A threshold for each detector, rates for each detector and value of `by`."""
-    limits = decide.threshold_at_pfa(h0, 0.1, ["detector"])
-    return h1.join(limits, "detector").groupBy("detector", by).agg(F.avg((F.col("stat") > F.col("threshold")).cast("double")).alias("pd"))
+
+@query("j02_pd_snr")
+def _(spark, d):
+    """All ten detectors at 150 levels from -25 to 5 dB."""
+    db, alphas = gen.snr_sweep(_M, _COV, _SONAR.steering)
+    rates = detected(spark, DETECTORS, 1e-2, 1_000, 100, len(db), lambda c: _SONAR.steering @ np.full(2, alphas[c]))
+    return _named(rates, snr=db)
 
 
 @query("j03_pd_angle")
 def _(spark, d):
-    """Detectors steer to the nominal angles; signals come from a grid of others."""
-    h0, h1 = _sonar_stats(spark, 60), None
-    for k, (a, b) in enumerate((a, b) for a in (20.0, 30.0, 40.0) for b in (35.0, 45.0)):
-        one = _sonar_stats(spark, 20, gen.steering(_M, a, b) @ np.full(2, 0.03), seed=1000 + k).withColumn("angles", F.lit(f"{a:g},{b:g}"))
-        h1 = one if h1 is None else h1.unionByName(one)
-    return _pd(h0, h1, "angles")
+    """Five detectors steer to the nominal angles; signals of -12 dB come from a grid of 51 x 51 others."""
+    angles = np.linspace(-75.0, 75.0, 51)
+    alpha = gen.snr_sweep(_M, _COV, _SONAR.steering, -12.0, -12.0, 1)[1][0]
+    five = _of("glrt", "rao", "independent", "glrt_tyler", "glrt_scm")
+    rates = detected(spark, five, 1e-2, 1_000, 10, 51 * 51, lambda c: gen.steering(_M, angles[c // 51], angles[c % 51]) @ np.full(2, alpha))
+    cell = lambda k: F.get(F.array(*(F.lit(float(a)) for a in angles)), k.cast("int"))
+    return rates.select("detector", cell(F.floor(F.col("case") / 51)).alias("theta1"), cell(F.col("case") % 51).alias("theta2"), "pd")
 
 
 @query("j04_tyler_convergence")

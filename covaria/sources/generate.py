@@ -101,6 +101,15 @@ def series(spark: SparkSession, trials: int, **law) -> DataFrame:
     return spark.range(trials).mapInArrow(run, "trial long, t int, n int, re array<double>, im array<double>")
 
 
+def sonar_trial(seed: tuple, k: int, root: np.ndarray, signal: np.ndarray | None = None, shape: float = 1.0, scale: float = 1.0) -> np.ndarray:
+    """k samples (k, 2m) of one stream under the covariance whose Cholesky factor is root, with a texture a sample unless (shape, scale) = (1, 1)."""
+    r = np.random.default_rng(np.random.SeedSequence(list(seed)))
+    x = _normal(r, (k, len(root))) @ ct(root)
+    if (shape, scale) != (1.0, 1.0):
+        x = x * np.sqrt(r.gamma(shape, scale, (k, 1)))
+    return x if signal is None else x + signal
+
+
 def sonar_samples(spark: SparkSession, trials: int, m: int, cov: np.ndarray, k: int = 1, signal: np.ndarray | None = None, shape: float = 1.0, scale: float = 1.0, seed: int = 0) -> DataFrame:
     """obs(trial, t, n, re, im) of k samples a trial; (shape, scale) = (1, 1) means no texture at all."""
     root = np.linalg.cholesky(cov)
@@ -108,12 +117,7 @@ def sonar_samples(spark: SparkSession, trials: int, m: int, cov: np.ndarray, k:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in batch.column(0).to_pylist():
-                r = np.random.default_rng(np.random.SeedSequence([seed, j]))
-                x = _normal(r, (k, 2 * m)) @ ct(root)
-                if (shape, scale) != (1.0, 1.0):
-                    x = x * np.sqrt(r.gamma(shape, scale, (k, 1)))
-                if signal is not None:
-                    x = x + signal
+                x = sonar_trial((seed, j), k, root, signal, shape, scale)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, j), pa.int64()), pa.array(np.zeros(k, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(list(x.real), pa.list_(pa.float64())), pa.array(list(x.imag), pa.list_(pa.float64()))],
                     ["trial", "t", "n", "re", "im"],

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from covaria.functions import detectors as det
 from covaria.functions import estimators as est
 from covaria.functions import expr, sonar_expr
-from covaria.operators import adaptive, decide, groups, windows
+from covaria.operators import adaptive, decide, groups, trials, windows
 from covaria.operators import moments as mom
-from covaria.plans import entries
+from covaria.plans import entries, montecarlo
 from covaria.sources import files
 from covaria.sources import generate as gen
 from covaria.streaming.online import event_samples, online
@@ -312,3 +312,44 @@ def test_streams_take_the_same_dates_in_every_time_zone(spark, tmp_path, zone):
         assert got == [1_762_059_600 + 3600 * h for h in range(6)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_simulated_trials_depend_on_their_numbers_alone(spark):
+    m = 2
+    cov, sonar = gen.sonar_covariance(m), det.Sonar(m, gen.steering(m, 30, 45))
+    detectors = {"known": ("glrt", None), "scm": ("rao", est.scm), "one": ("array2", None)}
+    signal = lambda c: sonar.steering @ np.full(2, 0.01 * c)
+    kernel = trials.sonar_kernel(sonar, cov, detectors, signal, seed=3)
+    rows = lambda parts: {(r["case"], r["trial"], r["detector"]): r["stat"] for r in trials.sonar_trials(spark, 3, 7, kernel, detectors, m, parts=parts).collect()}
+    got = rows(1)
+    assert got.keys() == rows(5).keys() and len(got) == 3 * 7 * 3 and all(np.isclose(v, got[k], rtol=1e-10) for k, v in rows(5).items())
+    for case, trial in ((0, 0), (2, 6)):
+        x = gen.sonar_trial((3, case, trial), 4 * m + 1, np.linalg.cholesky(cov))
+        first = x[0] + signal(case)
+        assert np.isclose(got[case, trial, "known"], sonar.glrt(first, cov)) and np.isclose(got[case, trial, "one"], sonar.single(first, cov, 1))
+        assert np.isclose(got[case, trial, "scm"], sonar.rao(first, est.scm(x[1:])))
+    assert trials.sonar_trials(spark, 3, 0, kernel, detectors, m).count() == 0
+
+
+def test_change_comes_at_a_share_of_the_dates(spark):
+    sizes = montecarlo.Sizes(6, least=5, most=12, points=3)
+    none, some = montecarlo._laws("gaussian")
+    for law, changes in ((none, False), (some, True)):
+        rows = montecarlo.over_dates(spark, law, *montecarlo._METHODS["gaussian"], sizes, changes).collect()
+        assert len(rows) == 6 * len(sizes.dates) * 2 and {r["T"] for r in rows} == set(sizes.dates)
+        for r in rows:
+            length, at = (r["T"], max(2, r["T"] // 2)) if changes else (max(sizes.dates), None)
+            x = gen.trial(k=r["trial"], **(law | {"dates": length, "change": at}))[: r["T"]]
+            assert np.isclose(r["stat"], det.gaussian_glrt(x))
+
+
+def test_power_of_a_change_exceeds_its_false_alarms(spark):
+    got = montecarlo.detection_power(spark, "gaussian", montecarlo.Sizes(200, most=12, points=3, pfa=0.05)).toPandas()
+    assert len(got) == 2 * 3 and (got["power"] > 0.3).all() and got.groupby("T")["power"].std().max() < 1e-9
+
+
+def test_rates_of_detectors_rise_with_the_signal(spark):
+    _, alphas = gen.snr_sweep(montecarlo._M, montecarlo._COV, montecarlo._SONAR.steering, -40.0, 20.0, 2)
+    signal = lambda c: montecarlo._SONAR.steering @ np.full(2, alphas[c])
+    got = montecarlo.detected(spark, montecarlo.DETECTORS, 0.05, 400, 100, 2, signal).toPandas().pivot(index="detector", columns="case", values="pd")
+    assert set(got.index) == set(montecarlo.DETECTORS) and (got[0] < 0.2).all() and (got[1] > 0.8).all()
