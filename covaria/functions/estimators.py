@@ -156,8 +156,12 @@ def scaled_gaussian_gradient(x, s, tau):
 
 
 def _descend(loss, manifold, point, gradient, alpha, c, rho, backtracks):
-    """An Armijo step along minus the gradient for each row; rows without an accepted step stay. Gives point, moved."""
-    f, size = loss(*point), manifold.norm(point, gradient) ** 2
+    """An Armijo step along minus the gradient for each row; rows without an accepted step stay. Gives point, moved.
+
+    The slope is the gradient's square in the weighted metric: losses are means over samples, and so are the
+    weights, whatever the number of samples.
+    """
+    f, size = loss(*point), np.abs(manifold.inner(point, gradient, gradient))
     accepted = np.zeros(np.shape(f), bool)
     step, best = np.full(np.shape(f), float(alpha)), list(point)
     for _ in range(backtracks):

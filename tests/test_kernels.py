@@ -81,6 +81,19 @@ def test_natural_gradient_is_tyler(x):
     assert np.allclose(tau, linalg.quadratic(y, np.linalg.inv(s)) / 4, rtol=1e-4)
 
 
+def test_natural_gradient_of_many_samples(x):
+    """Copies of a group's samples change neither its shape nor a step of it, however many there are."""
+    y = x.reshape(3, 80, 4)
+    many, n = np.tile(y, (1, 200, 1)), 200 * 80
+    assert np.allclose(est.natural_gradient(many)[0], est.natural_gradient(y)[0], atol=1e-5)
+    start = np.broadcast_to(np.eye(4, dtype=complex), (3, 4, 4))
+    few, much = est.natural_gradient_step(y, (start, np.ones((3, 80)))), est.natural_gradient_step(many, (start, np.ones((3, n))))
+    assert np.allclose(few[0], much[0]) and not np.allclose(much[0], start)
+    half = np.broadcast_to(np.eye(2, dtype=complex), (3, 2, 2))
+    few, much = est.kronecker_online_step(y, (half, half, np.ones((3, 80))), 1), est.kronecker_online_step(many, (half, half, np.ones((3, n))), 1)
+    assert all(np.allclose(u, v) and not np.allclose(v, half) for u, v in zip(few[:2], much[:2], strict=True))
+
+
 def numerical(loss, manifold, point, gradient, k):
     e = 1e-6
     step = [np.zeros_like(v) for v in point]

@@ -32,6 +32,16 @@ def test_equals_sql(spark, con, name):
     assert table(got) == table(want)
 
 
+@pytest.mark.parametrize("name", ["c14_natural_gradient_real"])
+def test_groups_of_many_samples_equal_sql(spark, tmp_path, name):
+    """Two labels of 12,500 embeddings each, with vec_ids of their own."""
+    c = duckdb.connect()
+    c.sql(f"copy (select vec_id * 100000 + copy as vec_id, embedding, (vec_id % 2)::int as label from '{SF}/embeddings.parquet', (select unnest(range(25000 // (select count(*) from '{SF}/embeddings.parquet'))) as copy) k) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert c.sql("select min(c) from (select count(*) as c from embeddings group by label) x").fetchall()[0][0] > 12000
+    assert table(QUERIES[name](spark, str(tmp_path)).toPandas()) == table(c.sql(SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     rows = QUERIES[name](spark, SF).collect()
