@@ -32,7 +32,7 @@ def test_equals_sql(spark, con, name):
     assert table(got) == table(want)
 
 
-@pytest.mark.parametrize("name", ["c14_natural_gradient_real"])
+@pytest.mark.parametrize("name", ["c14_natural_gradient_real", "c15_scaled_gaussian_estimator_real"])
 def test_groups_of_many_samples_equal_sql(spark, tmp_path, name):
     """Two labels of 12,500 embeddings each, with vec_ids of their own."""
     c = duckdb.connect()
