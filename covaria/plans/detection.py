@@ -9,7 +9,7 @@ from covaria.functions import detectors as det
 from covaria.functions import sonar_expr
 from covaria.operators import decide
 from covaria.operators import moments as mom
-from covaria.operators.adaptive import adaptive, unpivoted
+from covaria.operators.adaptive import adaptive, split, unpivoted
 from covaria.operators.groups import detect, running
 from covaria.plans.registry import SERIES, SPREAD, observations, query, r6, series, spread, table
 from covaria.sources import generate as gen
@@ -235,11 +235,7 @@ query("d11_mimo_mf_stat", f"SELECT n, round({_SQL['matched']}, 6) + 0.0 AS v FRO
 
 def _secondary(spark, d):
     """Labels as trials: the first sample is primary, the others are secondary."""
-    o = observations(spark, d, 4, True).withColumn("trial", F.col("g").cast("long"))
-    first = o.groupBy("trial").agg(F.min("n").alias("first"))
-    both = o.join(first, "trial")
-    both = both.select("trial", "t", "n", "re", "im", "first")
-    return both.where("n = first"), both.where("n <> first").select("trial", "t", "n", "re", "im")
+    return split(observations(spark, d, 4, True).withColumn("trial", F.col("g").cast("long")))
 
 
 for _id, _estimator in (("d17_adaptive_scm", det.est.scm), ("d17_adaptive_two_array_tyler", lambda x: det.est.two_array_tyler(x, 2))):

@@ -9,7 +9,7 @@ from covaria.functions import detectors as det
 from covaria.functions import estimators as est
 from covaria.functions import linalg
 from covaria.functions import manifolds as man
-from covaria.operators.adaptive import adaptive
+from covaria.operators.adaptive import adaptive, split
 from covaria.operators.groups import by_group, detect, estimate
 from covaria.plans.closed import chain, compound_sql
 from covaria.plans.layout import _SCENE, scene, windowed
@@ -130,9 +130,7 @@ _TRIAL = f"(SELECT *, row_number() OVER (PARTITION BY g ORDER BY n) AS k FROM {_
 @query("d17_adaptive_matched_real", f"SELECT p.g::BIGINT AS trial, round((s.c * x0 * x0 - 2 * s.b * x0 * x1 + s.a * x1 * x1) / (s.a * s.c - s.b * s.b), 6) + 0.0 AS matched FROM {_TRIAL} p JOIN (SELECT g, avg(x0 * x0) AS a, avg(x0 * x1) AS b, avg(x1 * x1) AS c FROM {_TRIAL} q WHERE k > 1 GROUP BY g) s ON p.g = s.g WHERE p.k = 1")
 def _(spark, d):
     o = observations(spark, d, 2).withColumn("trial", F.col("g").cast("long")).withColumn("im", F.array(F.lit(0.0), F.lit(0.0)))
-    first = o.groupBy("trial").agg(F.min("n").alias("first"))
-    both = o.join(first, "trial")
-    got = adaptive(both.where("n = first"), both.where("n <> first").select("trial", "t", "n", "re", "im"), det.Sonar(1, np.eye(2, dtype=complex)), est.scm, ("matched",))
+    got = adaptive(*split(o), det.Sonar(1, np.eye(2, dtype=complex)), est.scm, ("matched",))
     return got.select("trial", r6("matched"))
 
 

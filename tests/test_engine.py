@@ -105,6 +105,15 @@ def test_adaptive(spark):
         adaptive.adaptive(primary, None, s, est.scm)
 
 
+def test_first_samples_that_share_an_n(spark):
+    """The least of them is primary in any order of rows, the other is secondary."""
+    rows = [(0, 0, 5, [3.0], [0.0]), (0, 0, 5, [2.0], [1.0]), (0, 0, None, [1.0], [0.0]), (0, 0, 9, [7.0], [0.0])]
+    for order in (rows, rows[::-1]):
+        primary, secondary = adaptive.split(spark.createDataFrame(order, "trial long, t int, n int, re array<double>, im array<double>"))
+        assert [tuple(r) for r in primary.collect()] == [(0, [2.0], [1.0])]
+        assert sorted(r.re[0] for r in secondary.collect()) == [1.0, 3.0, 7.0]
+
+
 def test_decisions(spark):
     r = np.random.default_rng(6)
     h0 = np.round(r.standard_normal(501), 2)

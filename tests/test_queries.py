@@ -42,6 +42,19 @@ def test_groups_of_many_samples_equal_sql(spark, tmp_path, name):
     assert table(QUERIES[name](spark, str(tmp_path)).toPandas()) == table(c.sql(SQL[name]).df())
 
 
+def test_one_primary_sample_a_trial(spark, tmp_path):
+    """Rows that occur three times, vec_ids that are null, and a label whose first embedding is null."""
+    c = duckdb.connect()
+    source = f"'{SF}/embeddings.parquet', (select unnest(range(3)) as copy) k"
+    c.sql(f"copy (select case when vec_id % 7 = 6 and label <> 3 then null else vec_id end as vec_id, case when label <> 3 or vec_id > (select min(vec_id) from '{SF}/embeddings.parquet' where label = 3) then embedding end as embedding, label from {source}) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    got = table(QUERIES["d17_adaptive_matched_real"](spark, str(tmp_path)).toPandas())
+    assert got == table(c.sql(SQL["d17_adaptive_matched_real"]).df()) and ("null", "3") in got
+    for name in ("d17_adaptive_scm", "d17_adaptive_two_array_tyler"):
+        rows = QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert sorted(rows["trial"]) == list(range(10))
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     rows = QUERIES[name](spark, SF).collect()
